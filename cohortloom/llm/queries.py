@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import alike
+from cohortloom.llm import alike, overlap
 from cohortloom.store import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """record_id of the valid and test trials with the same or a near-same raw_text in train."""
+    return overlap.overlapping(table(spark, d, "trial_manifest"), "record_id")
+
+
+def p1_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """The overlaps as pairs of distinct forms with merged match length, number of spans and edits."""
+    return overlap.overlaps(table(spark, d, "trial_manifest"))[1]
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping rows per split, dataset_version, paradigm and book_id."""
+    m = table(spark, d, "trial_manifest")
+    texts, pairs = overlap.overlaps(m)
+    return overlap.report(m, pairs, texts, ["dataset_version", "paradigm", "book_id"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """(record_id, unit_id): trial and workbook row that print alike but are not the same string."""
     return alike.alike(table(spark, d, "trial_manifest"), "record_id", "raw_text", table(spark, d, "material_units"), "unit_id", "normalized_text")
@@ -21,5 +38,5 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return trials.unionByName(units)
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms}
+QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p3_found": p3_found, "p3_forms": p3_forms}
 SQL: dict[str, str] = {}
