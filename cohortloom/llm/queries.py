@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import alike, overlap
+from cohortloom.llm import alike, families, overlap, sample
 from cohortloom.store import table
 
 
@@ -26,6 +26,44 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(m, pairs, texts, ["dataset_version", "paradigm", "book_id"])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """family_id of the families whose trials carry two or more splits."""
+    return families.torn(*families.trial_families(table(spark, d, "trial_manifest"), table(spark, d, "group_links"))).select("family_id")
+
+
+def p2_torn(spark: SparkSession, d: str) -> DataFrame:
+    """The torn families with their splits and sizes."""
+    return families.torn(*families.trial_families(table(spark, d, "trial_manifest"), table(spark, d, "group_links")))
+
+
+def p2_assign(spark: SparkSession, d: str) -> DataFrame:
+    """Every trial row with its family and split, families whole."""
+    m = table(spark, d, "trial_manifest")
+    counted, family = families.trial_families(m, table(spark, d, "group_links"))
+    chosen = families.assign(counted.join(family, "group").groupBy("family").agg(F.sum("n").alias("weight")))
+    rows = m.select("row_id", "record_id", families.clean_id(F.col("split_group_id")).alias("group"))
+    return rows.join(family.join(chosen, "family"), "group").select("row_id", "record_id", F.col("family").alias("family_id"), "assigned")
+
+
+def p2_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Every window with its split, subjects whole."""
+    w = table(spark, d, "pl_windows").select("window_id", families.clean_id(F.col("subject_group_id")).alias("family"))
+    chosen = families.assign(w.groupBy("family").agg(F.count(F.lit(1)).alias("weight")))
+    return w.distinct().join(chosen, "family").select("window_id", F.col("family").alias("subject_group_id"), "assigned")
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 % sample of content groups, with each group's permanent number and first load."""
+    return sample.replay(table(spark, d, "trial_manifest"), "split_group_id", "load_no", "split_seed").chosen().select(F.col("id").alias("split_group_id"), "u", "first_load")
+
+
+def p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The trial rows of the sampled groups."""
+    m = table(spark, d, "trial_manifest")
+    chosen = sample.replay(m, "split_group_id", "load_no", "split_seed").chosen().select(F.col("id").alias("g"))
+    return m.select("row_id", "record_id", "load_no", families.clean_id(F.col("split_group_id")).alias("g")).join(chosen, "g").withColumnRenamed("g", "split_group_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """(record_id, unit_id): trial and workbook row that print alike but are not the same string."""
     return alike.alike(table(spark, d, "trial_manifest"), "record_id", "raw_text", table(spark, d, "material_units"), "unit_id", "normalized_text")
@@ -38,5 +76,21 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return trials.unionByName(units)
 
 
-QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p3_found": p3_found, "p3_forms": p3_forms}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p2_found": p2_found, "p2_torn": p2_torn, "p2_assign": p2_assign, "p2_subjects": p2_subjects, "p3_found": p3_found, "p3_forms": p3_forms, "p4_sample": p4_sample, "p4_rows": p4_rows}
+
+_FAMILY = """
+WITH RECURSIVE l AS (SELECT lower(trim(left_group_id)) a, lower(trim(right_group_id)) b FROM group_links WHERE review_status = 'accepted'),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS v, a AS w FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.w = e.a),
+c AS (SELECT v, min(w) AS family FROM r GROUP BY v),
+t AS (SELECT coalesce(c.family, g) AS family, g, s, n FROM (SELECT lower(trim(split_group_id)) g, CASE WHEN lower(trim(split)) = 'validation' THEN 'valid' ELSE lower(trim(split)) END s, count(*) n FROM trial_manifest GROUP BY 1, 2) x LEFT JOIN c ON c.v = x.g)
+"""
+SQL: dict[str, str] = {
+    "p2_found": _FAMILY + "SELECT family AS family_id FROM t GROUP BY family HAVING count(DISTINCT s) > 1",
+    "p2_torn": _FAMILY + "SELECT family AS family_id, string_agg(DISTINCT s, '+' ORDER BY s) AS splits, count(DISTINCT g)::BIGINT AS n_groups, sum(n)::BIGINT AS n_rows FROM t GROUP BY family HAVING count(DISTINCT s) > 1",
+    "p4_sample": """
+WITH seed AS (SELECT split_seed FROM trial_manifest WHERE load_no = (SELECT min(load_no) FROM trial_manifest) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+g AS (SELECT lower(trim(split_group_id)) id, min(load_no)::INTEGER first_load FROM trial_manifest GROUP BY 1),
+u AS (SELECT id, ('0x' || substr(sha256((SELECT split_seed FROM seed)::VARCHAR || chr(0) || id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u, first_load FROM g)
+SELECT id AS split_group_id, u, first_load FROM u WHERE u < 0.1""",
+}
