@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import alike, families, overlap, sample
+from cohortloom.llm import alike, cut, families, overlap, sample
 from cohortloom.store import table
 
 
@@ -76,7 +76,18 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return trials.unionByName(units)
 
 
-QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p2_found": p2_found, "p2_torn": p2_torn, "p2_assign": p2_assign, "p2_subjects": p2_subjects, "p3_found": p3_found, "p3_forms": p3_forms, "p4_sample": p4_sample, "p4_rows": p4_rows}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """window_id of the windows that had to be cut: those with a second piece."""
+    found = cut.pieces(table(spark, d, "pl_windows"), table(spark, d, "marker_stream"))
+    return found.where("piece = 1").select("window_id")
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces of the windows longer than their window_sec."""
+    return cut.pieces(table(spark, d, "pl_windows"), table(spark, d, "marker_stream"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p2_found": p2_found, "p2_torn": p2_torn, "p2_assign": p2_assign, "p2_subjects": p2_subjects, "p3_found": p3_found, "p3_forms": p3_forms, "p4_sample": p4_sample, "p4_rows": p4_rows, "p6_found": p6_found, "p6_pieces": p6_pieces}
 
 _FAMILY = """
 WITH RECURSIVE l AS (SELECT lower(trim(left_group_id)) a, lower(trim(right_group_id)) b FROM group_links WHERE review_status = 'accepted'),
@@ -88,6 +99,9 @@ t AS (SELECT coalesce(c.family, g) AS family, g, s, n FROM (SELECT lower(trim(sp
 SQL: dict[str, str] = {
     "p2_found": _FAMILY + "SELECT family AS family_id FROM t GROUP BY family HAVING count(DISTINCT s) > 1",
     "p2_torn": _FAMILY + "SELECT family AS family_id, string_agg(DISTINCT s, '+' ORDER BY s) AS splits, count(DISTINCT g)::BIGINT AS n_groups, sum(n)::BIGINT AS n_rows FROM t GROUP BY family HAVING count(DISTINCT s) > 1",
+    "p6_found": """
+SELECT DISTINCT window_id FROM pl_windows
+WHERE eeg_stop_sample - eeg_start_sample > round_even(CASE WHEN window_sec > 100 THEN window_sec / 1000 ELSE window_sec END * eeg_sampling_rate_hz, 0)""",
     "p4_sample": """
 WITH seed AS (SELECT split_seed FROM trial_manifest WHERE load_no = (SELECT min(load_no) FROM trial_manifest) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
 g AS (SELECT lower(trim(split_group_id)) id, min(load_no)::INTEGER first_load FROM trial_manifest GROUP BY 1),
