@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import alike, cut, families, overlap, sample
+from cohortloom.llm import alike, cut, families, leak, overlap, sample
 from cohortloom.store import table
 
 
@@ -87,7 +87,17 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cut.pieces(table(spark, d, "pl_windows"), table(spark, d, "marker_stream"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p2_found": p2_found, "p2_torn": p2_torn, "p2_assign": p2_assign, "p2_subjects": p2_subjects, "p3_found": p3_found, "p3_forms": p3_forms, "p4_sample": p4_sample, "p4_rows": p4_rows, "p6_found": p6_found, "p6_pieces": p6_pieces}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, item_id): documents and the items that leaked into each."""
+    return leak.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """The leaks with the share of the item found and the number of passages."""
+    return leak.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p2_found": p2_found, "p2_torn": p2_torn, "p2_assign": p2_assign, "p2_subjects": p2_subjects, "p3_found": p3_found, "p3_forms": p3_forms, "p4_sample": p4_sample, "p4_rows": p4_rows, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 _FAMILY = """
 WITH RECURSIVE l AS (SELECT lower(trim(left_group_id)) a, lower(trim(right_group_id)) b FROM group_links WHERE review_status = 'accepted'),
