@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from cohortloom.functions import codepoints as cp
 from cohortloom.llm.fold import fold_codepoints
@@ -37,7 +38,7 @@ def steps(texts: pa.Array):
     """Slices (first row, array) of at most STEP bytes of text, or of one row."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    size = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
+    size = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
     total = np.cumsum(size)
     a = 0
     while a < len(texts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import alike, cut, families, leak, overlap, sample
+from cohortloom.llm import alike, cut, families, leak, mixing, overlap, reading, sample
 from cohortloom.store import table
 
 
@@ -97,7 +97,35 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p2_found": p2_found, "p2_torn": p2_torn, "p2_assign": p2_assign, "p2_subjects": p2_subjects, "p3_found": p3_found, "p3_forms": p3_forms, "p4_sample": p4_sample, "p4_rows": p4_rows, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen repeats of every document."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.shares(mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id of the documents written at level 5."""
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "labels")).where("level = 5").select("doc_id").distinct()
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Score, grade and level of every document."""
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per clean source, writing language and level, with the mean grade."""
+    docs = table(spark, d, "documents")
+    lang = F.lower(F.substring(F.trim("lang"), 1, 2)).alias("lang")
+    known = docs.select("doc_id", mixing.clean_source(F.col("source")).alias("source"), lang).join(reading.levels(docs, table(spark, d, "labels")), "doc_id")
+    return known.groupBy("source", "lang", "level").agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.avg("grade"), 4).alias("mean_grade"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p2_found": p2_found, "p2_torn": p2_torn, "p2_assign": p2_assign, "p2_subjects": p2_subjects, "p3_found": p3_found, "p3_forms": p3_forms, "p4_sample": p4_sample, "p4_rows": p4_rows, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
 
 _FAMILY = """
 WITH RECURSIVE l AS (SELECT lower(trim(left_group_id)) a, lower(trim(right_group_id)) b FROM group_links WHERE review_status = 'accepted'),
