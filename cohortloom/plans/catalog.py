@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "text")
+MODULES = ("quality", "text", "intervals")
 
 
 def queries() -> dict:
