@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "text", "intervals")
+MODULES = ("quality", "text", "intervals", "splits")
 
 
 def queries() -> dict:
