@@ -100,3 +100,31 @@ def scored(df: DataFrame, key: str, model, names: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), *[pa.array(y[:, k].astype(float)) for k in range(len(names))]], [key, *names])
 
     return df.select(key, "text").mapInArrow(run, schema)
+
+
+def sampled(ids: DataFrame, df: DataFrame, key: str, most: int, label: str) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of at most ``most`` labelled rows, chosen by a hash of the key: the documented bound of a fit.
+
+    ``ids``: (key, label). Keys are chosen before texts are touched, and texts become features where they lie, so that
+    neither the driver nor one task ever holds texts. Of a repeated key one row counts.
+    """
+    from pyspark.sql import functions as F
+
+    chosen = ids.select(key, label).orderBy(F.xxhash64(key), key).limit(most)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for first, texts in steps(b.column("text")):
+                x = features(texts)
+                part = b.slice(first, len(texts))
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("y"), rows], [key, "y", "x"])
+
+    texts = df.where(F.col("text").isNotNull()).join(F.broadcast(chosen.withColumnRenamed(label, "y")), key).select(key, F.col("y").cast("double").alias("y"), "text")
+    rows = texts.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, y double, x array<float>").toArrow()  # ``most`` rows of fixed width
+    order = np.argsort(np.asarray(rows.column(key)), kind="stable")
+    x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(-1, WIDTH)[order] if rows.num_rows else np.zeros((0, WIDTH), np.float32)
+    keys = np.asarray(rows.column(key))[order]
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    mix = np.random.default_rng(0).permutation(int(first.sum()))
+    return x[first][mix], np.asarray(rows.column("y"))[order][first][mix]

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.features import features, scored
+from cohortloom.llm.features import sampled, scored
 
 #: Labelled documents and pairs of them that the ranker is fitted on, at most; the sample is by a hash of doc_id.
 MOST_LABELLED, MOST_PAIRS = 10_000, 200_000
@@ -15,11 +14,9 @@ FOLDS = 4
 LEVELS = (1, 5)
 
 
-def graded(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, level): mean rating of each rated document with letters; null ratings don't count."""
-    mean = labels.where(F.col("level").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("level").alias("level"))
-    first = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    return first.join(mean, "doc_id").dropDuplicates(["doc_id"])
+def graded(labels: DataFrame) -> DataFrame:
+    """(doc_id, level): mean rating of each rated document; null ratings don't count."""
+    return labels.where(F.col("level").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("level").alias("level"))
 
 
 def _rank(x: np.ndarray, level: np.ndarray, seed: int, steps: int = 160, ridge: float = 2e-4, rate: float = 0.05) -> np.ndarray:
@@ -85,12 +82,9 @@ class Reader:
 
 def fit(documents: DataFrame, labels: DataFrame) -> Reader | None:
     """None where fewer than two levels are rated."""
-    rows = graded(documents, labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).toArrow()  # the documented bound
-    level = np.asarray(rows.column("level"), float)
+    x, level = sampled(graded(labels), documents, "doc_id", MOST_LABELLED, "level")
     if len(set(level.tolist())) < 2:
         return None
-    text = rows.column("text").combine_chunks()
-    x = np.concatenate([features(text.slice(i, 1000)) for i in range(0, len(text), 1000)])
     return Reader.fit(x, level)
 
 
