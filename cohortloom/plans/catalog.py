@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "text", "intervals", "splits")
+MODULES = ("quality", "text", "intervals", "splits", "audit")
 
 
 def queries() -> dict:
