@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from cohortloom.llm.features import features, scored
+from cohortloom.llm.features import features, sampled
 from cohortloom.store import materialize
 
 TOKENIZER = os.environ.get("COHORTLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: the split pattern of this public vocabulary's family.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Labelled documents that the classifier is fitted on, at most, by a hash of doc_id.
-MOST_LABELLED = 6_000
+MOST_LABELLED = 4_000
 #: How surely a document's own source label is right, and the least share a posterior from text keeps for any source.
 LABEL_TRUST, POSTERIOR_FLOOR = 0.9999, 0.1
 STEPS = 12
@@ -93,13 +93,11 @@ def members(documents: DataFrame, sources: list[str], path: str = TOKENIZER) ->
     k = len(sources)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), clean_source(F.col("source")).alias("source"), "text")
     place = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source")).cast("int")
-    labelled = docs.where(F.col("source").isin(*sources) & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").select(place.alias("y"), "text").limit(MOST_LABELLED).toArrow()  # the documented bound
-    if labelled.num_rows:
-        text = labelled.column("text").combine_chunks()
-        x = np.concatenate([features(text.slice(i, 1000)) for i in range(0, len(text), 1000)])
-        model = Softmax.fit(x, np.asarray(labelled.column("y")) - 1, k)
+    x, y = sampled(docs.where(F.col("source").isin(*sources)).select("doc_id", place.alias("level")), docs, "doc_id", MOST_LABELLED, "level")
+    if len(y):
+        model = Softmax.fit(x, y.astype(int) - 1, k)
     else:
-        model = Softmax(np.zeros((features(pa.array([""])).shape[1], k), np.float32), np.zeros(k, np.float32))
+        model = Softmax(np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32))
     schema = "doc_id long, source string, tokens long, m array<float>"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
