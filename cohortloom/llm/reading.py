@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm.features import sampled, scored
 
 #: Labelled documents and pairs of them that the ranker is fitted on, at most; the sample is by a hash of doc_id.
-MOST_LABELLED, MOST_PAIRS = 10_000, 200_000
+MOST_LABELLED, MOST_PAIRS = 5_000, 200_000
 FOLDS = 4
 LEVELS = (1, 5)
 
@@ -19,7 +19,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("level").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("level").alias("level"))
 
 
-def _rank(x: np.ndarray, level: np.ndarray, seed: int, steps: int = 160, ridge: float = 2e-4, rate: float = 0.05) -> np.ndarray:
+def _rank(x: np.ndarray, level: np.ndarray, seed: int, steps: int = 300, ridge: float = 3e-5, rate: float = 0.05) -> np.ndarray:
     """Weights of the logistic loss on graded pairs, by adaptive-moment gradient steps; pairs weigh as their levels differ."""
     rng = np.random.default_rng(seed)
     n = len(level)
