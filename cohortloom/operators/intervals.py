@@ -121,7 +121,7 @@ def sync_plan(trials: DataFrame, audio: DataFrame, window_sec: float, stride_sec
     A negative delay gives no windows. Reasons in order: no audio or bounds that are no numbers; unknown file; bounds
     beyond the file; shorter than the window.
     """
-    number = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    number = lambda c: F.coalesce(F.abs(c) <= 1e300, F.lit(False))
     info = audio.where(F.col("audio_file").isNotNull()).groupBy("audio_file").agg(F.max("sample_rate_hz").cast("long").alias("audio_rate"), F.max("frame_count").alias("frames"))
     t = trials.join(info, "audio_file", "left")
     has = F.col("audio_file").isNotNull() & number("audio_start_sec") & number("audio_end_sec")

@@ -225,7 +225,7 @@ def p95_exclusive(s, d):
 
 def span_validation(s, d):
     """Per audio file: trials, correlation of audio and EEG durations, exclusive p95 of their difference, and the verdict."""
-    num = lambda c: F.when(~F.isnan(c), F.col(c))
+    num = lambda c: F.when(F.abs(c) <= 1e300, F.col(c))
     x = _t(s, d).where("audio_file IS NOT NULL").select("audio_file", F.col("eeg_duration_sec").alias("a"), (num("audio_end_sec") - num("audio_start_sec")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").withColumn("res", F.abs(F.col("a") - F.col("b")))
     g = x.groupBy("audio_file").agg(F.count(F.lit(1)).alias("n"), F.round(A.pearson("a", "b"), 6).alias("r"), F.round(A.p95_exclusive(F.collect_list("res")), 6).alias("p95"))
     return g.withColumn("valid", F.coalesce((F.col("r") >= 0.99) & (F.col("p95") <= 0.08), F.lit(False)))
@@ -265,7 +265,7 @@ SQL = {
     "group_counts_sets": "SELECT dataset_version, paradigm, subject_id, book_id, chapter_id, count(*) AS n, grouping(subject_id)::INTEGER AS coarse FROM trial_manifest GROUP BY GROUPING SETS ((dataset_version, paradigm), (dataset_version, paradigm, subject_id, book_id, chapter_id))",
     "flag_counts": "SELECT unnest(string_split(quality_flag, '|')) AS flag, count(*) AS n FROM trial_manifest GROUP BY 1",
     "trace_explode": "WITH t AS (SELECT unnest(from_json(normalization_trace, '[{\"rule\":\"VARCHAR\",\"count\":\"INTEGER\"}]')) AS t FROM trial_manifest) SELECT t.rule AS rule, count(*) AS n_rows, sum(t.count)::BIGINT AS n_changes FROM t GROUP BY 1",
-    "distribution": "WITH v AS (SELECT dataset_version, paradigm, CASE WHEN abs(eeg_duration_sec) <= 1e300 THEN eeg_duration_sec END AS v FROM trial_manifest) SELECT dataset_version, paradigm, count(v) AS n, min(v) AS min, round(quantile_cont(v, 0.05), 9) AS p05, round(quantile_cont(v, 0.5), 9) AS median, round(quantile_cont(v, 0.95), 9) AS p95, max(v) AS max, round(avg(v), 9) AS mean FROM v GROUP BY 1, 2",
+    "distribution": "WITH v AS (SELECT dataset_version, paradigm, CASE WHEN isfinite(eeg_duration_sec) THEN eeg_duration_sec END AS v FROM trial_manifest) SELECT dataset_version, paradigm, count(v) AS n, min(v) AS min, round(quantile_cont(v, 0.05), 9) AS p05, round(quantile_cont(v, 0.5), 9) AS median, round(quantile_cont(v, 0.95), 9) AS p95, max(v) AS max, round(avg(v), 9) AS mean FROM v GROUP BY 1, 2",
     "missingness": "SELECT paradigm, count(*) AS n, " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}" for c in _MISS) + " FROM trial_manifest GROUP BY 1",
     "group_conflicts": """WITH t AS (SELECT * FROM trial_manifest WHERE normalized_text_hash IS NOT NULL), g AS (SELECT global_text_id AS id, count(DISTINCT normalized_text_hash) AS h, count(DISTINCT CASE WHEN global_text_alignment_status IN ('exact', 'normalized', 'manual') THEN normalized_text_hash END) AS s FROM t WHERE global_text_id IS NOT NULL GROUP BY 1)
 SELECT CASE WHEN s > 1 THEN 'global_conflict' ELSE 'accepted_variant' END AS kind, id, CASE WHEN s > 1 THEN s ELSE h END AS n FROM g WHERE h > 1 UNION ALL
@@ -291,7 +291,7 @@ SELECT 'group_text_conflict', lower(trim(split_group_id)) AS id, count(DISTINCT
     "pearson_guarded": f"WITH {_J} SELECT eeg_file, count(*) AS n, {_R} AS r FROM j GROUP BY 1",
     "duration_validation": f"WITH {_J}, g AS (SELECT eeg_file, count(*) AS n, {_R} AS r, round(quantile_cont(abs(a - b), 0.5), 6) AS median_residual FROM j GROUP BY 1) SELECT *, CASE WHEN n < 3 THEN median_residual <= 0.75 ELSE coalesce(r >= 0.9, false) END AS valid FROM g",
     "p95_exclusive": f"WITH {_J}, g AS (SELECT eeg_file, list_sort(list(abs(a - b))) AS x, count(*) AS n FROM j WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1), k AS (SELECT *, greatest(1, least(n - 1, 19 * (n + 1) // 20)) AS j FROM g) SELECT eeg_file, {_P95} AS p95 FROM k",
-    "span_validation": f"WITH x AS (SELECT audio_file, eeg_duration_sec AS a, CASE WHEN NOT isnan(audio_end_sec) THEN audio_end_sec END - CASE WHEN NOT isnan(audio_start_sec) THEN audio_start_sec END AS b FROM trial_manifest WHERE audio_file IS NOT NULL), g AS (SELECT audio_file, count(*) AS n, {_R} AS r, list_sort(list(abs(a - b))) AS x FROM x WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1), k AS (SELECT *, greatest(1, least(n - 1, 19 * (n + 1) // 20)) AS j FROM g), p AS (SELECT audio_file, n, r, {_P95} AS p95 FROM k) SELECT *, coalesce(r >= 0.99 AND p95 <= 0.08, false) AS valid FROM p",
+    "span_validation": f"WITH x AS (SELECT audio_file, eeg_duration_sec AS a, CASE WHEN isfinite(audio_end_sec) THEN audio_end_sec END - CASE WHEN isfinite(audio_start_sec) THEN audio_start_sec END AS b FROM trial_manifest WHERE audio_file IS NOT NULL), g AS (SELECT audio_file, count(*) AS n, {_R} AS r, list_sort(list(abs(a - b))) AS x FROM x WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1), k AS (SELECT *, greatest(1, least(n - 1, 19 * (n + 1) // 20)) AS j FROM g), p AS (SELECT audio_file, n, r, {_P95} AS p95 FROM k) SELECT *, coalesce(r >= 0.99 AND p95 <= 0.08, false) AS valid FROM p",
     "positional_join": "WITH m AS (SELECT *, row_number() OVER (PARTITION BY eeg_file ORDER BY sample) AS k FROM (SELECT DISTINCT eeg_file, sample FROM marker_stream WHERE trial_type = 'ROWS')), t AS (SELECT *, row_number() OVER (PARTITION BY eeg_file ORDER BY eeg_start_sample, record_id) AS k FROM (SELECT DISTINCT eeg_file, eeg_start_sample, record_id FROM trial_manifest)), n AS (SELECT eeg_file FROM (SELECT eeg_file, count(*) AS c FROM t GROUP BY 1) JOIN (SELECT eeg_file, count(*) AS c2 FROM m GROUP BY 1) USING (eeg_file) WHERE c = c2) SELECT record_id, eeg_file, k::INTEGER AS position, eeg_start_sample, sample AS marker_sample FROM t JOIN n USING (eeg_file) JOIN m USING (eeg_file, k)",
 }
 QUERIES = {k: globals()[k] for k in SQL} | {"near_duplicates": near_duplicates}

@@ -155,7 +155,7 @@ p AS (SELECT eeg_file, ps AS start_sample, sample AS end_sample, row_number() OV
 
 def _sync_sql(window, stride, delay, name="s"):
     return f"""{name}i AS (SELECT audio_file, max(sample_rate_hz)::BIGINT AS audio_rate, max(frame_count) AS frames FROM audio_files GROUP BY 1),
-{name}t AS (SELECT t.*, audio_rate, frames, (t.audio_file IS NOT NULL AND audio_start_sec IS NOT NULL AND audio_end_sec IS NOT NULL AND NOT isnan(audio_start_sec) AND NOT isnan(audio_end_sec)) AS has, round_even(eeg_sampling_rate, 0)::BIGINT AS rate FROM trial_manifest t LEFT JOIN {name}i i USING (audio_file) WHERE paradigm = 'passive_listening'),
+{name}t AS (SELECT t.*, audio_rate, frames, (t.audio_file IS NOT NULL AND audio_start_sec IS NOT NULL AND audio_end_sec IS NOT NULL AND isfinite(audio_start_sec) AND isfinite(audio_end_sec)) AS has, round_even(eeg_sampling_rate, 0)::BIGINT AS rate FROM trial_manifest t LEFT JOIN {name}i i USING (audio_file) WHERE paradigm = 'passive_listening'),
 {name}q AS (SELECT *, round_even({window}::DOUBLE * rate, 0)::BIGINT AS we, round_even({stride}::DOUBLE * rate, 0)::BIGINT AS se, round_even({delay / 1000.0}::DOUBLE * rate, 0)::BIGINT AS de, round_even({window}::DOUBLE * audio_rate, 0)::BIGINT AS wa, round_even({stride}::DOUBLE * audio_rate, 0)::BIGINT AS sa,
 CASE WHEN has THEN round_even(audio_start_sec * audio_rate, 0)::BIGINT END AS a0, CASE WHEN has THEN round_even(audio_end_sec * audio_rate, 0)::BIGINT END AS a1 FROM {name}t),
 {name}n AS (SELECT *, CASE WHEN a1 - a0 >= wa AND eeg_end_sample - eeg_start_sample - de >= we THEN least((a1 - a0 - wa) // sa, (eeg_end_sample - eeg_start_sample - de - we) // se) + 1 ELSE 0 END AS n FROM {name}q),
