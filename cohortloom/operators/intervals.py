@@ -30,7 +30,7 @@ def _with_carry(df: DataFrame, stream: str, order: Sequence[str], values: dict[s
     earlier = Window.partitionBy(stream).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_cell.select(stream, "_cell", *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in values])
     own = df.withColumns({f"_o_{n}": F.last(F.when(c, v), ignorenulls=True).over(inside) for n, (v, c) in values.items()})
-    out = own.join(carry, [stream, "_cell"])
+    out = own.join(carry, [stream, "_cell"], "left")  # a null stream has no carry, but its rows stay
     return out.withColumns({n: F.coalesce(f"_o_{n}", f"_c_{n}") for n in values}).drop(*[f"_o_{n}" for n in values], *[f"_c_{n}" for n in values])
 
 
@@ -86,12 +86,12 @@ def prefix_unresolved(pairs: DataFrame, markers: DataFrame, stream: str, sample:
 def asof_backward(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: str, cell: float = CELL) -> DataFrame:
     """Left rows with ``value`` and ``matched_at`` of the last right row of the key at or before them; null where there is none.
 
-    Of several right rows at one point the largest value counts. Both sides are cut into cells of the order; one union
+    Of several right rows at one point the largest value counts; null keys match nothing. Both sides are cut into cells of the order; one union
     and one window per cell, with the last right row of each cell carried forward.
     """
     names = left.columns
     a = left.select(F.col(key).alias("_k"), F.col(left_at).cast("double").alias("_at"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    b = right.where(F.col(right_at).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(right_at).cast("double").alias("_at")).agg(F.max(value).alias("_v"))
+    b = right.where(F.col(right_at).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(right_at).cast("double").alias("_at")).agg(F.max(value).alias("_v"))
     b = b.select("_k", "_at", F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), "_v")
     u = _cells(a.unionByName(b), "_k", "_at", cell)
     got = _with_carry(u, "_k", ["_at", "_side"], {"_m": (F.struct("_at", "_v"), F.col("_side") == 0)})

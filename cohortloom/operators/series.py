@@ -19,11 +19,11 @@ def robust_fit(train: DataFrame, by: list[str], value: str) -> DataFrame:
     """
     from pyspark.sql.window import Window
 
-    c = train.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(*by).orderBy(value)
-    c = c.withColumn("upto", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(Window.partitionBy(*by)))
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col(value)))
-    g = c.groupBy(*by).agg(at(0.25).alias("q25"), at(0.5).alias("center"), at(0.75).alias("q75"), F.max("n").alias("n"))
+    c = train.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(*by).orderBy("_v")
+    c = c.withColumn("_upto", F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_k").over(Window.partitionBy(*by)))
+    at = lambda q: F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * q), F.col("_v")))
+    g = c.groupBy(*by).agg(at(0.25).alias("q25"), at(0.5).alias("center"), at(0.75).alias("q75"), F.max("_n").alias("n"))
     iqr = F.col("q75") - F.col("q25")
     return g.select(*by, "n", "center", F.when(iqr == 0, 1.0).otherwise(iqr).alias("scale"))
 
@@ -31,7 +31,7 @@ def robust_fit(train: DataFrame, by: list[str], value: str) -> DataFrame:
 def robust_scale(df: DataFrame, fitted: DataFrame, by: list[str], value: str, clamp: float = 20.0) -> DataFrame:
     """clip((x - center) / scale); groups that were not fitted give null."""
     x = (F.col(value) - F.col("center")) / F.col("scale")
-    return df.join(fitted.select(*by, "center", "scale"), by, "left").withColumn("scaled", F.greatest(F.lit(-clamp), F.least(F.lit(clamp), x))).drop("center", "scale")
+    return df.join(fitted.select(*by, "center", "scale"), by, "left").withColumn("scaled", F.when(x.isNotNull(), F.greatest(F.lit(-clamp), F.least(F.lit(clamp), x)))).drop("center", "scale")
 
 
 def standard_fit(train: DataFrame, value: str, weight: str) -> DataFrame:
