@@ -115,12 +115,13 @@ def block_windows(blocks: DataFrame, size: int, stride: int, tail: str = "drop",
 REASONS = ("unverified_or_missing_audio_alignment", "audio_unreadable", "audio_bounds_exceed_file", "shorter_than_window_after_delay")
 
 
-def sync_plan(trials: DataFrame, audio: DataFrame, window_sec: float, stride_sec: float, delay_ms: float) -> DataFrame:
+def sync_plan(trials: DataFrame, audio: DataFrame, window_sec: float, stride_sec: float, delay_ms: float | Column) -> DataFrame:
     """Trials with both clocks quantized (half to even), the number of windows and the one reason where there are none.
 
     A negative delay gives no windows. Reasons in order: no audio or bounds that are no numbers; unknown file; bounds
     beyond the file; shorter than the window.
     """
+    delay = delay_ms / 1000.0 if isinstance(delay_ms, Column) else F.lit(delay_ms / 1000.0)
     number = lambda c: F.coalesce(F.abs(c) <= 1e300, F.lit(False))
     info = audio.where(F.col("audio_file").isNotNull()).groupBy("audio_file").agg(F.max("sample_rate_hz").cast("long").alias("audio_rate"), F.max("frame_count").alias("frames"))
     t = trials.join(info, "audio_file", "left")
@@ -128,7 +129,7 @@ def sync_plan(trials: DataFrame, audio: DataFrame, window_sec: float, stride_sec
     q = lambda c: F.rint(c).cast("long")
     rate = q(F.col("eeg_sampling_rate"))
     t = t.withColumns({
-        "we": q(F.lit(window_sec) * rate), "se": q(F.lit(stride_sec) * rate), "de": q(F.lit(delay_ms / 1000.0) * rate), "wa": q(F.lit(window_sec) * F.col("audio_rate")), "sa": q(F.lit(stride_sec) * F.col("audio_rate")),
+        "we": q(F.lit(window_sec) * rate), "se": q(F.lit(stride_sec) * rate), "de": q(delay * rate), "wa": q(F.lit(window_sec) * F.col("audio_rate")), "sa": q(F.lit(stride_sec) * F.col("audio_rate")),
         "a0": F.when(has, q(F.col("audio_start_sec") * F.col("audio_rate"))), "a1": F.when(has, q(F.col("audio_end_sec") * F.col("audio_rate"))),
     })
     la, le = F.col("a1") - F.col("a0"), F.col("eeg_end_sample") - F.col("eeg_start_sample") - F.col("de")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,8 +103,9 @@ def window_audit(s, d):
 
 def common_support(s, d):
     """Windows that exist at every delay of the sweep: an intersection on (record, audio bounds)."""
-    per = [_sync(s, d, 3.0, 0.5, x).select("record_id", "audio_start", "audio_stop").distinct().withColumn("delay", F.lit(x)) for x in DELAYS]
-    return reduce(lambda a, b: a.unionByName(b), per).groupBy("record_id", "audio_start", "audio_stop").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(DELAYS)).drop("n")
+    t = table(s, d, "trial_manifest").where("paradigm = 'passive_listening'").withColumn("delay", F.explode(F.array(*map(F.lit, DELAYS))))
+    w = I.sync_windows(I.sync_plan(t, table(s, d, "audio_files"), 3.0, 0.5, F.col("delay")), 0.5, ["record_id", "delay"])
+    return w.groupBy("record_id", "audio_start", "audio_stop").agg(F.countDistinct("delay").alias("n")).where(F.col("n") == len(DELAYS)).drop("n")
 
 
 def window_jsonl_digest(s, d):
