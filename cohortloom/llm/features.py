@@ -120,7 +120,7 @@ def sampled(ids: DataFrame, df: DataFrame, key: str, most: int, label: str) -> t
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(key), part.column("y"), rows], [key, "y", "x"])
 
-    texts = df.where(F.col("text").isNotNull()).join(F.broadcast(chosen.withColumnRenamed(label, "y")), key).select(key, F.col("y").cast("double").alias("y"), "text")
+    texts = df.where(F.col("text").isNotNull()).select(key, "text").join(F.broadcast(chosen.withColumnRenamed(label, "y")), key).select(key, F.col("y").cast("double").alias("y"), "text")
     rows = texts.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, y double, x array<float>").toArrow()  # ``most`` rows of fixed width
     order = np.argsort(np.asarray(rows.column(key)), kind="stable")
     x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(-1, WIDTH)[order] if rows.num_rows else np.zeros((0, WIDTH), np.float32)
