@@ -53,11 +53,11 @@ def rank_parts(queries: DataFrame, candidates: DataFrame, kind: str = "y", block
     positive's score comes from its own vector, joined by id, so every block can count by itself. Scores are rounded
     to ``digits`` so that blocks agree on ties. Queries without their positive among the candidates are left out.
     """
-    n_q = F.pmod(F.xxhash64("query_id"), F.lit(_blocks(queries, block)))
-    n_c = _blocks(candidates, block)
+    n_q = F.pmod(F.xxhash64("query_id"), F.lit(block_count(queries, block)))
+    n_c = block_count(candidates, block)
     own = candidates.select(F.col("candidate_id").alias("positive"), F.col("vector").alias("own"))
     q = queries.join(own, "positive").withColumn("qb", n_q).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    c = candidates.withColumn("cb", F.pmod(F.xxhash64("candidate_id"), F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_blocks(queries, block) - 1).cast("bigint"))))
+    c = candidates.withColumn("cb", F.pmod(F.xxhash64("candidate_id"), F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(block_count(queries, block) - 1).cast("bigint"))))
 
     def count(_, a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -75,7 +75,7 @@ def rank_parts(queries: DataFrame, candidates: DataFrame, kind: str = "y", block
     return parts.groupBy("query_id").agg(F.sum("above").alias("above"), F.sum("level").alias("level"), F.sum("n").alias("n"))
 
 
-def _blocks(df: DataFrame, block: int) -> int:
+def block_count(df: DataFrame, block: int = BLOCK) -> int:
     return max(1, -(-df.count() // block))
 
 

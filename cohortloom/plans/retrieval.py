@@ -97,9 +97,11 @@ def shortcut_random(s, d):
     """Ranks under pseudo-random scores: the hash fraction of seed and pair, candidates counted per query."""
     q, c = _queries(s, d)
     key = lambda x: F.substring(F.sha2(F.concat(F.lit("42\0"), F.col("query_id").cast("string"), F.lit("\0"), x.cast("string")).cast("binary"), 256), 1, 12)
-    ids = c.agg(F.collect_list("candidate_id").alias("all"))  # the stated candidate set
-    x = q.select("query_id", "positive").join(F.broadcast(ids)).withColumn("own", key(F.col("positive")))
-    return x.select("query_id", F.size(F.filter("all", lambda i: key(i) >= F.col("own"))).cast("long").alias("rank"))
+    blocks = R.block_count(c)
+    held = c.groupBy(F.pmod(F.xxhash64("candidate_id"), F.lit(blocks)).alias("cb")).agg(F.collect_list("candidate_id").alias("ids"))  # a block of bounded size
+    x = q.select("query_id", "positive").withColumn("own", key(F.col("positive"))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    n = x.join(held, "cb").select("query_id", F.size(F.filter("ids", lambda i: key(i) >= F.col("own"))).cast("long").alias("n"))
+    return n.groupBy("query_id").agg(F.sum("n").alias("rank"))
 
 
 def shortcut_correlation(s, d):
