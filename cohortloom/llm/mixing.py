@@ -144,7 +144,7 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, steps:
     taken within ranges of bounded size whose totals are summed before.
     """
     spark = documents.sparkSession
-    rows = targets.where(F.col("source").isNotNull()).groupBy(clean_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("source").limit(10_000).collect()  # a table of sources
+    rows = targets.where(F.col("source").isNotNull()).groupBy(clean_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("source").collect()  # one row a source
     sources, caps = [r.source for r in rows], np.array([float(r.cap) for r in rows])
     k = len(sources)
     if not k:
