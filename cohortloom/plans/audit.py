@@ -39,7 +39,7 @@ def flag_counts(s, d):
 
 
 def trace_explode(s, d):
-    t = _t(s, d).select(F.explode(F.from_json("normalization_trace", "array<struct<rule:string,count:int>>")).alias("t"))
+    t = _u(s, d).select(F.explode(F.from_json("normalization_trace", "array<struct<rule:string,count:int>>")).alias("t"))
     return t.groupBy(F.col("t.rule").alias("rule")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("t.count").alias("n_changes"))
 
 
@@ -264,7 +264,7 @@ SQL = {
     "group_counts": "SELECT coalesce(dataset_version, '') AS dataset_version, coalesce(paradigm, '') AS paradigm, coalesce(book_id, '') AS book_id, coalesce(chapter_id::VARCHAR, '') AS chapter_id, coalesce(material_variant, '') AS material_variant, count(*) AS n FROM trial_manifest GROUP BY ALL",
     "group_counts_sets": "SELECT dataset_version, paradigm, subject_id, book_id, chapter_id, count(*) AS n, grouping(subject_id)::INTEGER AS coarse FROM trial_manifest GROUP BY GROUPING SETS ((dataset_version, paradigm), (dataset_version, paradigm, subject_id, book_id, chapter_id))",
     "flag_counts": "SELECT unnest(string_split(quality_flag, '|')) AS flag, count(*) AS n FROM trial_manifest GROUP BY 1",
-    "trace_explode": "WITH t AS (SELECT unnest(from_json(normalization_trace, '[{\"rule\":\"VARCHAR\",\"count\":\"INTEGER\"}]')) AS t FROM trial_manifest) SELECT t.rule AS rule, count(*) AS n_rows, sum(t.count)::BIGINT AS n_changes FROM t GROUP BY 1",
+    "trace_explode": "WITH t AS (SELECT unnest(from_json(normalization_trace, '[{\"rule\":\"VARCHAR\",\"count\":\"INTEGER\"}]')) AS t FROM material_units) SELECT t.rule AS rule, count(*) AS n_rows, sum(t.count)::BIGINT AS n_changes FROM t GROUP BY 1",
     "distribution": "WITH v AS (SELECT dataset_version, paradigm, CASE WHEN isfinite(eeg_duration_sec) THEN eeg_duration_sec END AS v FROM trial_manifest) SELECT dataset_version, paradigm, count(v) AS n, min(v) AS min, round(quantile_cont(v, 0.05), 9) AS p05, round(quantile_cont(v, 0.5), 9) AS median, round(quantile_cont(v, 0.95), 9) AS p95, max(v) AS max, round(avg(v), 9) AS mean FROM v GROUP BY 1, 2",
     "missingness": "SELECT paradigm, count(*) AS n, " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}" for c in _MISS) + " FROM trial_manifest GROUP BY 1",
     "group_conflicts": """WITH t AS (SELECT * FROM trial_manifest WHERE normalized_text_hash IS NOT NULL), g AS (SELECT global_text_id AS id, count(DISTINCT normalized_text_hash) AS h, count(DISTINCT CASE WHEN global_text_alignment_status IN ('exact', 'normalized', 'manual') THEN normalized_text_hash END) AS s FROM t WHERE global_text_id IS NOT NULL GROUP BY 1)
