@@ -1 +1 @@
-"""Structured Streaming forms of the keyed operators: an extension, batch is the reference form."""
+"""Structured Streaming forms of the keyed operators: an extension, the batch form is the definition."""
