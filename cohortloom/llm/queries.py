@@ -145,4 +145,9 @@ WITH seed AS (SELECT split_seed FROM trial_manifest WHERE load_no = (SELECT min(
 g AS (SELECT lower(trim(split_group_id)) id, min(load_no)::INTEGER first_load FROM trial_manifest GROUP BY 1),
 u AS (SELECT id, ('0x' || substr(sha256((SELECT split_seed FROM seed)::VARCHAR || chr(0) || id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u, first_load FROM g)
 SELECT id AS split_group_id, u, first_load FROM u WHERE u < 0.1""",
+    "p4_rows": """
+WITH seed AS (SELECT split_seed FROM trial_manifest WHERE load_no = (SELECT min(load_no) FROM trial_manifest) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+g AS (SELECT lower(trim(split_group_id)) id, min(load_no)::INTEGER first_load FROM trial_manifest GROUP BY 1),
+u AS (SELECT id, ('0x' || substr(sha256((SELECT split_seed FROM seed)::VARCHAR || chr(0) || id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u, first_load FROM g)
+SELECT row_id, record_id, load_no, id AS split_group_id FROM trial_manifest JOIN u ON id = lower(trim(split_group_id)) WHERE u < 0.1""",
 }
