@@ -111,29 +111,41 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, found: D
 # ---------------------------------------------------------------- classifier two-sample test
 
 PER_COLUMN = 3
+BITS = 64
 BINS = 512
+ROWS = 2048  # worked on at once
 
 
 def _featured(df: DataFrame, load: str, key: str, columns: list[str]) -> DataFrame:
-    """(load order value, fold, features): per column a null mark, a squashed magnitude and a hashed sign."""
+    """(load order value, fold, f, h): per column a null mark and a squashed magnitude in f, the value's 64-bit hash in h."""
     kinds = dict(df.dtypes)
-    parts = []
+    parts, hashes = [], []
     for c in columns:
         numeric = kinds[c] in ("int", "bigint", "double", "float", "smallint", "tinyint", "boolean")
         x = F.col(c).cast("double") if numeric else F.length(_text(c)).cast("double")
         x = F.when(_number(x), F.signum(x) * F.log1p(F.abs(x))).otherwise(F.lit(0.0))
-        h = F.xxhash64(F.lit(c), _text(c))
-        sign = lambda b, h=h, c=c: F.when(F.col(c).isNull(), F.lit(0.0)).when(F.shiftright(h, b).bitwiseAND(1) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        parts += [F.col(c).isNull().cast("double"), x, sign(3)]
-    return df.select(F.col(load).cast("long").alias("load"), F.pmod(F.xxhash64(F.col(key), F.lit("fold")), F.lit(2)).cast("int").alias("fold"), F.array(*parts).cast("array<float>").alias("f"))
+        parts += [F.col(c).isNull().cast("double"), x]
+        hashes.append(F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(c), _text(c))))
+    return df.select(
+        F.col(load).cast("long").alias("load"), F.pmod(F.xxhash64(F.col(key), F.lit("fold")), F.lit(2)).cast("int").alias("fold"),
+        F.array(*parts).cast("array<float>").alias("f"), F.array(*hashes).alias("h"),
+    )
 
 
-def _batches(it: Iterator[pa.RecordBatch], width: int):
-    for b in it:
-        if b.num_rows:
-            f = b.column("f")
-            x = np.asarray(f.flatten(), float).reshape(b.num_rows, width)
-            yield np.asarray(b.column("load")), np.asarray(b.column("fold")), x
+def _batches(it: Iterator[pa.RecordBatch], columns: int):
+    """(loads, folds, null marks and magnitudes [row, column, 2], bytes of the hashes [row, column, 8])."""
+    for whole in it:
+        for i in range(0, whole.num_rows, ROWS):
+            b = whole.slice(i, ROWS)
+            x = np.asarray(b.column("f").flatten(), float).reshape(b.num_rows, columns, 2)
+            h = np.ascontiguousarray(np.asarray(b.column("h").flatten(), "<i8")).view(np.uint8).reshape(b.num_rows, columns, 8)
+            yield np.asarray(b.column("load")), np.asarray(b.column("fold")), x, h
+
+
+def _tables(means: np.ndarray) -> np.ndarray:
+    """[.., column, byte, value]: what each byte of a hash adds to the inner product of its signs with ``means`` [.., column, bit]."""
+    signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little") * 2.0 - 1
+    return means.reshape(*means.shape[:-1], 8, 8) @ signs.T
 
 
 VECTOR = "pair int, fold int, part int, v binary"
@@ -165,6 +177,10 @@ def drift(df: DataFrame, load: str, key: str, columns: list[str], steps: int = 6
     ``column_name`` null is the whole model. Two folds by a hash of ``key``: each half is scored by the model fitted on
     the other half. 0.5 means that the loads cannot be told apart. ``auc_without`` is that of the model refitted
     without the column's features: the minimum, under that constraint, of the fitted model's quadratic expansion.
+    A column has three features: null mark, squashed magnitude (of text its length), and how much nearer the value is to
+    the later load's values than to the earlier's: the inner product of the 64 signs of its hash with the change of
+    their means between the loads. The means are of the fitting half, each of its rows left out of its own mean. Values
+    that differ share no feature unless all 64 bits agree, so a swap of two values of one length shows.
     Fitting is Newton's method; one pass over the rows per step sums gradient and Hessian of all pairs and folds.
     Rows with a null load are left out; with fewer than two loads the result is empty. Ties in score count half.
     """
@@ -175,37 +191,65 @@ def drift(df: DataFrame, load: str, key: str, columns: list[str], steps: int = 6
     if not pairs:
         return spark.createDataFrame([], schema)
     feats = materialize(_featured(df.where(F.col(load).isNotNull()), load, key, columns))  # each pass reads it again
-    width = PER_COLUMN * len(columns)
-    d = width + 1
+    n_columns = len(columns)
+    width = 2 * n_columns
+    d = 1 + PER_COLUMN * n_columns
 
     def moments(it):
         acc: dict = {}
-        for y, _, x in _batches(it, width):
-            m = np.concatenate([[len(y)], x.sum(0), (x * x).sum(0)])
-            acc[0, 0] = acc.get((0, 0), 0) + m
+        for y, fold, x, h in _batches(it, n_columns):
+            for i, a in enumerate(loads):
+                for k in (0, 1):
+                    at = (y == a) & (fold == k)
+                    if at.any():
+                        z = x[at].reshape(-1, width)
+                        bits = np.unpackbits(h[at].reshape(len(z), -1), axis=1, bitorder="little").sum(0, dtype=float).reshape(n_columns, BITS)
+                        signs = 2 * bits - (1 - x[at][:, :, 0]).sum(0)[:, None]  # a null has no bit set and counts 0
+                        acc[i, k] = acc.get((i, k), 0) + np.concatenate([[len(z)], z.sum(0), (z * z).sum(0), signs.ravel()])
         yield from _emit(acc)
 
-    m = _summed(feats, moments)[0, 0]
+    sums = _summed(feats, moments)
+    m = sum(sums.values())
     mean = m[1 : 1 + width] / m[0]
-    sd = np.sqrt(np.maximum(m[1 + width :] / m[0] - mean**2, 0))
+    sd = np.sqrt(np.maximum(m[1 + width : 1 + 2 * width] / m[0] - mean**2, 0))
     scale = np.where(sd > 1e-9, 1 / np.maximum(sd, 1e-9), 0)
+    mean, scale = mean.reshape(n_columns, 2), scale.reshape(n_columns, 2)
+    rows = np.array([[sums[i, k][0] if (i, k) in sums else 0 for k in (0, 1)] for i in range(len(loads))])
+    signs = np.array([[sums[i, k][1 + 2 * width :].reshape(n_columns, BITS) / rows[i, k] if (i, k) in sums else np.zeros((n_columns, BITS)) for k in (0, 1)] for i in range(len(loads))])
+    change = signs[1:] - signs[:-1]  # [pair, fold, column, bit]
+    middle = (change * (signs[1:] + signs[:-1]) / 2).sum(-1)
+    size = np.sqrt((change**2).sum(-1))
+    unit = np.where(size > 1e-9, 1 / np.maximum(size, 1e-9), 0)
     w = {(p, k): np.zeros(d) for p in range(len(pairs)) for k in (0, 1)}
     hess = {}
 
-    def design(x):
-        return np.hstack([np.ones((len(x), 1)), np.clip((x - mean) * scale, -5, 5)])
+    def design(x, h, after, p, fitted, tables):
+        """Features of rows of pair ``p`` by the sign means of fold ``fitted[0]``; if ``fitted[1]``, each row is left out of its own mean."""
+        f, own = fitted
+        there = 1 - x[:, :, 0]
+        at = (np.arange(n_columns)[None, :, None], np.arange(8)[None, None, :], h)
+        g = [tables[p + i, f][at].sum(2) * there for i in (0, 1)]
+        if own:
+            for i in (0, 1):
+                n = rows[p + i, f]
+                g[i] = np.where((after == i)[:, None], (n * g[i] - BITS * there) / (n - 1) if n > 1 else 0, g[i])
+        z = np.empty((len(x), n_columns, PER_COLUMN))
+        z[:, :, :2] = (x - mean) * scale
+        z[:, :, 2] = (g[1] - g[0] - middle[p, f]) * unit[p, f]
+        return np.hstack([np.ones((len(x), 1)), np.clip(z, -5, 5).reshape(len(x), -1)])
 
     for _ in range(steps):
 
         def newton(it, w=w):
             acc: dict = {}
-            for y, fold, x in _batches(it, width):
-                x = design(x)
+            tables = _tables(signs)
+            for y, fold, x, h in _batches(it, n_columns):
                 for p, (a, b) in enumerate(pairs):
                     for k in (0, 1):
                         at = ((y == a) | (y == b)) & (fold != k)  # fitted on the other fold
                         if at.any():
-                            z, t = x[at], (y[at] == b).astype(float)
+                            t = (y[at] == b).astype(float)
+                            z = design(x[at], h[at], t, p, (1 - k, True), tables)
                             q = 1 / (1 + np.exp(-np.clip(z @ w[p, k], -30, 30)))
                             v = np.concatenate([z.T @ (t - q), ((z * (q * (1 - q))[:, None]).T @ z).ravel()])
                             acc[p, k] = acc.get((p, k), 0) + v
@@ -226,13 +270,14 @@ def drift(df: DataFrame, load: str, key: str, columns: list[str], steps: int = 6
 
     def scored(it):
         acc: dict = {}
-        for y, fold, x in _batches(it, width):
-            x = design(x)
+        tables = _tables(signs)
+        for y, fold, x, h in _batches(it, n_columns):
             for p, (a, b) in enumerate(pairs):
                 for k in (0, 1):
                     at = ((y == a) | (y == b)) & (fold == k)
                     if at.any() and (p, k) in models:
-                        s = 1 / (1 + np.exp(-np.clip(x[at] @ models[p, k].T, -30, 30)))
+                        z = design(x[at], h[at], y[at] == b, p, (1 - k, False), tables)
+                        s = 1 / (1 + np.exp(-np.clip(z @ models[p, k].T, -30, 30)))
                         i = np.minimum((s * BINS).astype(int), BINS - 1) + (np.arange(s.shape[1]) * 2 + 0)[None, :] * BINS + ((y[at] == b) * BINS)[:, None]
                         acc[p, k] = acc.get((p, k), 0) + np.bincount(i.ravel(), minlength=2 * BINS * s.shape[1]).astype(float)
         yield from _emit(acc)

@@ -139,3 +139,10 @@ def test_profile_and_drift(frame):
     assert d[None].auc > 0.9 and d["moved"].loss > 0.3 and abs(d["still"].loss) < 0.05
     assert P.drift(df.where("load_no = 1"), "load_no", "row_id", ["moved"]).count() == 0
     assert P.profile(df.limit(0), "load_no").count() == 0
+
+
+def test_drift_of_equally_long_values(frame):
+    rows = [(i, 1 + i % 2, f"ChineseEEG{1 + i % 2}", f"ChineseEEG{1 + i // 2 % 2}", f"id{i:05d}") for i in range(1200)]
+    df = frame(rows, "row_id long, load_no int, dataset_version string, still string, unique string")
+    d = {r.column_name: r for r in P.drift(df, "load_no", "row_id", ["dataset_version", "still", "unique"]).collect()}
+    assert d[None].auc > 0.99 and d["dataset_version"].loss > 0.4 and abs(d["still"].loss) < 0.05 and abs(d["unique"].loss) < 0.05
