@@ -301,6 +301,6 @@ def drift(df: DataFrame, load: str, key: str, columns: list[str], steps: int = 6
 
 
 def contract_columns(schema: Mapping[str, str] | T.StructType) -> list[str]:
-    """The columns that describe the data rather than its delivery."""
+    """The columns that describe the data rather than its delivery: all but row_id, load_no, recorded_at and loaded_at."""
     names = schema.names if isinstance(schema, T.StructType) else list(schema)
     return [c for c in names if c not in ("row_id", "load_no", "recorded_at", "loaded_at")]

@@ -146,3 +146,17 @@ def test_drift_of_equally_long_values(frame):
     df = frame(rows, "row_id long, load_no int, dataset_version string, still string, unique string")
     d = {r.column_name: r for r in P.drift(df, "load_no", "row_id", ["dataset_version", "still", "unique"]).collect()}
     assert d[None].auc > 0.99 and d["dataset_version"].loss > 0.4 and abs(d["still"].loss) < 0.05 and abs(d["unique"].loss) < 0.05
+
+
+def test_profile_has_every_column(spark, frame, tmp_path):
+    from cohortloom.plans.quality import p5_profile
+
+    at = "timestamp '2031-01-21 09:00:00'"
+    rows = [(i, load, "x", 1.0, 2.0, 0, 250, 250.0, 1.0, "ok", "恩洛在码头修好旧钟。") for i, load in ((1, 1), (1, 1), (2, 1), (3, 2))]
+    m = frame(rows, MANIFEST).selectExpr("*", f"if(row_id = 2, null, {at}) recorded_at", f"{at} loaded_at")
+    m.write.parquet(f"{tmp_path}/trial_manifest.parquet")
+    frame([("x", 10, 100)], "audio_file string, sample_rate_hz int, frame_count long").write.parquet(f"{tmp_path}/audio_files.parquet")
+    p = {(r.load, r.column_name): r for r in p5_profile(spark, str(tmp_path)).collect()}
+    assert set(p) == {(load, c) for load in (1, 2) for c in m.columns}
+    assert (p[1, "row_id"].n_rows, p[1, "row_id"].distinct_count, p[1, "row_id"].max_value) == (3, 2, "2")
+    assert p[1, "recorded_at"].n_null == 1 and p[2, "recorded_at"].min_value == "2031-01-21 09:00:00" and p[1, "loaded_at"].distinct_count == 1 and p[2, "load_no"].max_value == "2"
