@@ -75,6 +75,34 @@ def rank_parts(queries: DataFrame, candidates: DataFrame, kind: str = "y", block
     return parts.groupBy("query_id").agg(F.sum("above").alias("above"), F.sum("level").alias("level"), F.sum("n").alias("n"))
 
 
+def log_sum_exp(queries: DataFrame, candidates: DataFrame, kind: str = "y", temperature: float = 1.0, block: int = BLOCK) -> DataFrame:
+    """(query_id, lse): log of the sum over all candidates of exp(score / temperature), summed per block below the block's largest score.
+
+    ``queries``: query_id, vector; ``candidates``: candidate_id, vector; ids distinct. Without candidates there is no row.
+    """
+    n_q, n_c = block_count(queries, block), block_count(candidates, block)
+    q = queries.select("query_id", "vector").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    c = candidates.withColumn("cb", F.pmod(F.xxhash64("candidate_id"), F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))))
+
+    def add(_, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"query_id": a.column("query_id").slice(0, 0), "top": pa.array([], pa.float64()), "total": pa.array([], pa.float64())})
+        x, y = _matrix(a, "vector"), _matrix(b, "vector")
+        if "x" in kind:
+            x = _normed(x)
+        if "y" in kind:
+            y = _normed(y)
+        s = x @ y.T / temperature
+        top = s.max(1)
+        return pa.table({"query_id": a.column("query_id"), "top": pa.array(top), "total": pa.array(np.exp(s - top[:, None]).sum(1))})
+
+    kind_of = queries.schema["query_id"].dataType.simpleString()
+    parts = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(add, f"query_id {kind_of}, top double, total double")
+    most = parts.groupBy("query_id").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "total")).alias("parts"))  # one part a block
+    total = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["total"] * F.exp(x["top"] - F.col("top")))
+    return most.select("query_id", (F.col("top") + F.log(total)).alias("lse"))
+
+
 def block_count(df: DataFrame, block: int = BLOCK) -> int:
     return max(1, -(-df.count() // block))
 

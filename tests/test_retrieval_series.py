@@ -24,6 +24,20 @@ def test_ranks_against_plain(frame, block):
     assert got == {i: (int((s[i] >= s[i, i]).sum()), 1 + int((s[i] > s[i, i]).sum())) for i in range(9)}
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_contrastive_loss_over_all_candidates(spark, frame, tmp_path, block):
+    from cohortloom.plans.retrieval import contrastive_loss
+
+    e = np.random.default_rng(5).normal(size=(120, 4)) * 20  # scores beyond exp's range
+    frame([(i, v.tolist(), "l") for i, v in enumerate(e)] + [(120, e[0].tolist(), "l"), (122, None, "l")], "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x, y = e[::2], e[1::2]
+    s = x @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T / 0.07
+    m = s.max(1)
+    want = (m + np.log(np.exp(s - m[:, None]).sum(1)) - np.diag(s)).mean()
+    got = contrastive_loss(spark, str(tmp_path), block).first()
+    assert got.n == 61 and abs(got.loss - want) < 1e-5
+
+
 def test_metrics_goldens(frame, spark):
     m = R.metrics(frame([(1,), (2,), (10,), (20,)], "r int"), "r").first()
     assert (m.r_at_1, m.r_at_5, m.r_at_10) == (0.25, 0.5, 0.75)
