@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm import alike, cut, families, leak, mixing, overlap, reading, sample
@@ -36,18 +36,25 @@ def p2_torn(spark: SparkSession, d: str) -> DataFrame:
     return families.torn(*families.trial_families(table(spark, d, "trial_manifest"), table(spark, d, "group_links")))
 
 
+def _own(kind: str, key: str) -> Column:
+    return F.concat(F.lit(f"{kind}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+
+
 def p2_assign(spark: SparkSession, d: str) -> DataFrame:
-    """Every trial row with its family and split, families whole."""
+    """Every trial row with its family and split, families whole; a row without a group is a family of its own, ``row:`` and its id."""
     m = table(spark, d, "trial_manifest")
     counted, family = families.trial_families(m, table(spark, d, "group_links"))
-    chosen = families.assign(counted.join(family, "group").groupBy("family").agg(F.sum("n").alias("weight")))
     rows = m.select("row_id", "record_id", families.clean_id(F.col("split_group_id")).alias("group"))
-    return rows.join(family.join(chosen, "family"), "group").select("row_id", "record_id", F.col("family").alias("family_id"), "assigned")
+    grouped = rows.where(F.col("group").isNotNull()).join(family, "group").select("row_id", "record_id", "family")
+    alone = rows.where(F.col("group").isNull()).select("row_id", "record_id", _own("row", "row_id").alias("family"))
+    weights = counted.join(family, "group").select("family", "n").unionByName(alone.select("family", F.lit(1).cast("long").alias("n")))
+    chosen = families.assign(weights.groupBy("family").agg(F.sum("n").alias("weight")))
+    return grouped.unionByName(alone).join(chosen, "family").select("row_id", "record_id", F.col("family").alias("family_id"), "assigned")
 
 
 def p2_subjects(spark: SparkSession, d: str) -> DataFrame:
-    """Every window with its split, subjects whole."""
-    w = table(spark, d, "pl_windows").select("window_id", families.clean_id(F.col("subject_group_id")).alias("family"))
+    """Every window with its split, subjects whole; a window without a subject is one of its own, ``window:`` and its id."""
+    w = table(spark, d, "pl_windows").select("window_id", F.coalesce(families.clean_id(F.col("subject_group_id")), _own("window", "window_id")).alias("family"))
     chosen = families.assign(w.groupBy("family").agg(F.count(F.lit(1)).alias("weight")))
     return w.distinct().join(chosen, "family").select("window_id", F.col("family").alias("subject_group_id"), "assigned")
 

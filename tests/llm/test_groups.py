@@ -38,6 +38,19 @@ def test_torn_families(frame):
     assert got == {"a": "train+valid", "e": "test+train"}
 
 
+def test_rows_without_a_group_get_a_split(spark, frame, tmp_path):
+    from cohortloom.llm import queries
+
+    rows = [(i, f"r{i}", (None, " ", "A", "b")[i % 4], "train") for i in range(40)]
+    frame(rows, "row_id long, record_id string, split_group_id string, split string").write.parquet(f"{tmp_path}/trial_manifest.parquet")
+    frame([("a", "b", "accepted")], "left_group_id string, right_group_id string, review_status string").write.parquet(f"{tmp_path}/group_links.parquet")
+    frame([(f"w{i}", (None, "", "s", "t")[i % 4]) for i in range(40)], "window_id string, subject_group_id string").write.parquet(f"{tmp_path}/pl_windows.parquet")
+    got = queries.p2_assign(spark, str(tmp_path)).collect()
+    assert sorted(r.row_id for r in got) == list(range(40)) and all(r.assigned for r in got)
+    assert {r.row_id: r.family_id for r in got} == {i: "a" if i % 4 > 1 else f"row:{i}" for i in range(40)} and len({r.assigned for r in got if r.family_id == "a"}) == 1
+    assert {r.window_id: r.subject_group_id for r in queries.p2_subjects(spark, str(tmp_path)).where("assigned IS NOT NULL").collect()} == {f"w{i}": ("s", "t")[i % 4 - 2] if i % 4 > 1 else f"window:w{i}" for i in range(40)}
+
+
 def test_assign_shares(frame):
     rng = random.Random(3)
     rows = [(f"f{i}", rng.randrange(1, 30)) for i in range(3000)] + [("big", 15000), ("empty", 0), (None, 5)]
