@@ -60,12 +60,22 @@ def chance_metrics(s, d):
 
 
 def retrieval_position_local(s, d):
-    """Rank among the positive and its nearest negatives by position: with consecutive positions these lie in a band."""
+    """Rank among the positive and its nearest negatives by position, at whatever distance: a band of ranks of position.
+
+    Candidates are numbered in order within cells whose sizes are summed first; the nearest 20 are among the 20 before
+    and the 20 behind the query.
+    """
     q, c = _queries(s, d)
     pool = 20
-    a = q.select("query_id", "positive", F.col("vector").alias("qv"), F.col("query_id").cast("double").alias("pos"))
-    b = c.select("candidate_id", F.col("vector").alias("cv"), F.col("candidate_id").cast("double").alias("c_pos"))
-    near = R.interval_pairs(a, b, "pos", 4.0 * pool, 4.0 * pool).withColumn("gap", F.abs(F.col("pos") - F.col("c_pos")))
+    a = q.select(F.col("query_id").alias("id"), "positive", "vector", F.lit(0).alias("k"))
+    both = a.unionByName(c.select(F.col("candidate_id").alias("id"), F.lit(None).cast("long").alias("positive"), "vector", F.lit(1).alias("k"))).withColumn("b", F.floor(F.col("id") / R.BLOCK))
+    n = both.groupBy("b").agg(F.sum("k").alias("n"))
+    base = n.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("base"))  # one row a cell
+    order = Window.partitionBy("b").orderBy("id", "k").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.join(base, "b").withColumn("at", (F.col("base") + F.sum("k").over(order)).cast("double"))
+    a = both.where("k = 0").select(F.col("id").alias("query_id"), "positive", F.col("vector").alias("qv"), (F.col("at") + 0.5).alias("pos"))
+    b = both.where("k = 1").select(F.col("id").alias("candidate_id"), F.col("vector").alias("cv"), F.col("at").alias("c_pos"))
+    near = R.interval_pairs(a, b, "pos", float(pool), float(pool)).withColumn("gap", F.abs(F.col("query_id") - F.col("candidate_id")))
     own = F.col("candidate_id") == F.col("positive")
     w = Window.partitionBy("query_id").orderBy(F.when(own, 0).otherwise(1), "gap", "candidate_id")
     x = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= pool).withColumn("s", F.round(R.similarity(F.col("qv"), F.col("cv"), "y"), 9))

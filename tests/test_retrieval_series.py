@@ -38,6 +38,22 @@ def test_contrastive_loss_over_all_candidates(spark, frame, tmp_path, block):
     assert got.n == 61 and abs(got.loss - want) < 1e-5
 
 
+def test_position_pool_is_full_across_gaps(spark, frame, tmp_path):
+    from cohortloom.plans.retrieval import retrieval_position_local
+
+    rng = np.random.default_rng(6)
+    ids = [i + (0, 300, 9000, 500_000)[i // 20] for i in range(80)]  # gaps wider than any band
+    e = {i: rng.normal(size=4) for i in ids}
+    none = {44 + 9000, 3}  # one query and one positive without a vector
+    frame([(i, None if i in none else e[i].tolist(), "l") for i in ids], "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for q in (i for i in ids if i % 2 == 0 and i not in none):
+        near = sorted((i for i in ids if i % 2 and i not in none), key=lambda c: (c != q + 1, abs(c - q), c))[:20]
+        s = {c: round(float(e[q] @ e[c] / np.linalg.norm(e[c])), 9) for c in near}
+        want[q] = (20, sum(x >= s[q + 1] for x in s.values()) if q + 1 in s else 0)
+    assert {r.query_id: (r.pool, r.rank) for r in retrieval_position_local(spark, str(tmp_path)).collect()} == want
+
+
 def test_metrics_goldens(frame, spark):
     m = R.metrics(frame([(1,), (2,), (10,), (20,)], "r int"), "r").first()
     assert (m.r_at_1, m.r_at_5, m.r_at_10) == (0.25, 0.5, 0.75)
