@@ -84,13 +84,18 @@ def retrieval_position_local(s, d):
 
 
 def length_matched_pool(s, d):
-    """Targets within one character and half a second of each query target: sizes of the pools."""
-    t = table(s, d, "pl_windows").where("char_count IS NOT NULL AND source_trial_eeg_duration_sec IS NOT NULL").groupBy("split_group_id").agg(F.min("char_count").cast("double").alias("chars"), F.min("source_trial_eeg_duration_sec").alias("sec"))
+    """Targets within one character and half a second of each query target: sizes of the pools.
+
+    A target without a duration, on either side, matches at any duration. The SQL of this name leaves such targets out,
+    so the two are equal only where every target has a duration.
+    """
+    t = table(s, d, "pl_windows").where("char_count IS NOT NULL").groupBy("split_group_id").agg(F.min("char_count").cast("double").alias("chars"), F.min("source_trial_eeg_duration_sec").alias("sec"))
     # records with equal lengths meet as one: pools are counted per distinct (characters, duration)
     c = t.groupBy("chars", "sec").agg(F.count(F.lit(1)).alias("k"))
-    pairs = R.interval_pairs(c.select("chars", "sec"), c.select(F.col("chars").alias("c_chars"), F.col("sec").alias("c_sec"), "k"), "chars", 1.0, 1.0).where(F.abs(F.col("sec") - F.col("c_sec")) <= 0.5)
-    sizes = pairs.groupBy("chars", "sec").agg(F.sum("k").alias("pool"))
-    return t.join(sizes, ["chars", "sec"]).select("split_group_id", "pool", (F.col("pool") >= 20).alias("enough"))
+    near = F.coalesce(F.abs(F.col("sec") - F.col("c_sec")) <= 0.5, F.lit(True))
+    pairs = R.interval_pairs(c.select("chars", "sec"), c.select(F.col("chars").alias("c_chars"), F.col("sec").alias("c_sec"), "k"), "chars", 1.0, 1.0).where(near)
+    sizes = pairs.groupBy(F.col("chars").alias("q_chars"), F.col("sec").alias("q_sec")).agg(F.sum("k").alias("pool"))
+    return t.join(sizes, (F.col("chars") == F.col("q_chars")) & F.col("sec").eqNullSafe(F.col("q_sec"))).select("split_group_id", "pool", (F.col("pool") >= 20).alias("enough"))
 
 
 def contrastive_loss(s, d, block=R.BLOCK):

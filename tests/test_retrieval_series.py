@@ -54,6 +54,15 @@ def test_position_pool_is_full_across_gaps(spark, frame, tmp_path):
     assert {r.query_id: (r.pool, r.rank) for r in retrieval_position_local(spark, str(tmp_path)).collect()} == want
 
 
+def test_pool_of_targets_without_a_duration(spark, frame, tmp_path):
+    from cohortloom.plans.retrieval import length_matched_pool
+
+    rows = [("a", 10, 1.0), ("b", 11, 1.5), ("c", 10, 2.0), ("d", 11, None), ("e", 12, None), ("f", 13, 9.0), ("a", 10, None), ("g", None, 1.0)]
+    frame(rows, "split_group_id string, char_count int, source_trial_eeg_duration_sec double").write.parquet(f"{tmp_path}/pl_windows.parquet")
+    got = {r.split_group_id: r.pool for r in length_matched_pool(spark, str(tmp_path)).collect()}
+    assert got == {"a": 3, "b": 5, "c": 3, "d": 5, "e": 4, "f": 2}
+
+
 def test_metrics_goldens(frame, spark):
     m = R.metrics(frame([(1,), (2,), (10,), (20,)], "r int"), "r").first()
     assert (m.r_at_1, m.r_at_5, m.r_at_10) == (0.25, 0.5, 0.75)
