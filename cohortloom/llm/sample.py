@@ -27,10 +27,10 @@ class Register:
     def numbers(self) -> DataFrame:
         return self.spark.read.schema(STATE).parquet(self.path)
 
-    def add(self, ids: DataFrame, load: int, number: Column) -> None:
+    def add(self, ids: DataFrame, load: int | None, number: Column) -> None:
         """Anti-join insert: identifiers without a number get ``number``, once; the rest keep theirs."""
         new = ids.select("id").where(F.col("id").isNotNull()).distinct().join(self.numbers(), "id", "left_anti")
-        new.select("id", number.alias("u"), F.lit(load).alias("first_load")).write.mode("append").parquet(self.path)
+        new.select("id", number.alias("u"), F.lit(load).cast("int").alias("first_load")).write.mode("append").parquet(self.path)
 
     def chosen(self, threshold: float = SHARE) -> DataFrame:
         """Identifiers under the threshold. A threshold that never falls keeps every earlier choice."""
@@ -47,12 +47,13 @@ def replay(df: DataFrame, group: str, load: str, seed: str, path: str | None = N
     """Feed the loads in order into a register. Null or blank identifiers are never sampled; an empty table gives none.
 
     The number is the hash fraction of seed and identifier, so a rerun without the old register, or with another
-    partitioning, draws the same numbers; where a register is kept, its numbers hold.
+    partitioning, draws the same numbers; where a register is kept, its numbers hold. A null load comes last: a group
+    that is in no other load gets its number then, with a null first load.
     """
     seen = df.groupBy(clean_id(F.col(group)).alias("id")).agg(F.collect_set(load).alias("loads")).where(F.col("id").isNotNull())
     number = hash_fraction(F.lit(str(first_seed(df, load, seed))), F.col("id"))
-    pairs = materialize(seen.select("id", F.explode("loads").alias("load")))
+    pairs = materialize(seen.select("id", F.explode_outer("loads").alias("load")))  # a null load only where there is no other
     out = Register(df.sparkSession, path)
-    for k in [r[0] for r in pairs.select("load").distinct().orderBy("load").collect()]:
-        out.add(pairs.where(F.col("load") == k), k, number)
+    for k in [r[0] for r in pairs.select("load").distinct().orderBy(F.col("load").asc_nulls_last()).collect()]:
+        out.add(pairs.where(F.col("load").eqNullSafe(F.lit(k))), k, number)
     return out

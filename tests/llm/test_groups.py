@@ -82,6 +82,12 @@ def test_sample_keeps_what_it_chose(frame):
     assert sample.replay(df.limit(0), "g", "load", "seed").numbers().count() == 0
 
 
+def test_groups_without_a_load_come_last(frame):
+    rows = [("a", 2, 42), ("b", 1, 42), ("b", None, 42), ("c", None, 7), (None, None, 42)]
+    got = {r.id: r.first_load for r in sample.replay(frame(rows, "g string, load int, seed long"), "g", "load", "seed").numbers().collect()}
+    assert got == {"a": 2, "b": 1, "c": None}
+
+
 WINDOW = "window_id string, eeg_file string, eeg_start_sample long, eeg_stop_sample long, window_sec double, stride_sec double, eeg_sampling_rate_hz int"
 
 
