@@ -34,8 +34,8 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lower[cps[keep]], np.concatenate([[0], np.cumsum(keep)])[off]
 
 
-def steps(texts: pa.Array):
-    """Slices (first row, array) of at most STEP bytes of text, or of one row."""
+def steps(texts: pa.Array, most: int = STEP):
+    """Slices (first row, array) of at most ``2 * most`` bytes of text, or of one row."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     size = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
@@ -43,7 +43,7 @@ def steps(texts: pa.Array):
     a = 0
     while a < len(texts):
         base = total[a] - size[a]
-        b = max(a + 1, int(np.searchsorted(total, base + 2 * STEP, "right")))
+        b = max(a + 1, int(np.searchsorted(total, base + 2 * most, "right")))
         yield a, texts.slice(a, b - a)
         a = b
 

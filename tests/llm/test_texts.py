@@ -24,7 +24,7 @@ def test_distance_against_plain():
                 prev = cur
             return min(prev)
 
-        assert leak.myers(p, t).tolist() == [plain(a, b) for a, b in zip(p.tolist(), t.tolist())]
+        assert leak.myers(p, t)[0].tolist() == [plain(a, b) for a, b in zip(p.tolist(), t.tolist())]
 
 
 def _texts(rng, han, n):
@@ -61,6 +61,37 @@ def test_leaks(frame, monkeypatch):
     assert leak.leaks(empty, frame(items, "item_id long, text string")).count() == 0 and leak.leaks(frame(docs, "doc_id long, text string"), frame([], "item_id long, text string")).count() == 0
 
 
+def _spread(t, every):
+    """One letter replaced in each ``every``."""
+    return "".join("q" if i % every == every - 1 and c != "q" else c for i, c in enumerate(t))
+
+
+def test_spread_edits_and_split_passages(frame):
+    rng = random.Random(8)
+    letters = lambda han, n: "".join(chr(0x4E00 + rng.randrange(3000)) if han else rng.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(i, letters(i % 2, 90 if i % 2 else 200)) for i in range(40)]
+    docs, want, other = [], set(), set()
+    for i, t in items:
+        noise = lambda: letters(i % 2, 150)  # noqa: B023, E731
+        n = len(t)
+        for every in (5, 6, 7, 8, 9, 10, 11):
+            docs.append((len(docs), noise() + _spread(t, every) + noise()))
+            want.add((len(docs) - 1, i))
+        for a, b in ((38, 14), (35, 17), (40, 15), (30, 25)):
+            docs.append((len(docs), noise() + t[: n * a // 100] + noise() + t[n - n * b // 100 :] + noise()))
+            want.add((len(docs) - 1, i))
+        docs.append((len(docs), noise() + t[: n * 30 // 100] + noise()))
+        other.add((len(docs) - 1, i))
+    got = {(r.doc_id, r.item_id) for r in leak.leaks(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()}
+    assert len(got & want) >= 0.99 * len(want) and not got - want and not got & other
+
+
+def test_short_items_stand_whole(frame):
+    docs = frame([(1, "Well, the Cat sat."), (2, "the cat sits"), (3, None)], "doc_id long, text string")
+    items = frame([(7, "the cat sat"), (8, "!"), (9, "zz")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.cover) for r in leak.leaks(docs, items).collect()] == [(1, 7, 1.0)]
+
+
 def test_a_very_long_text_is_searched_to_its_end(frame):
     rng = random.Random(9)
     item = _texts(rng, True, 100)
