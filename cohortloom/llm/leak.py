@@ -38,7 +38,9 @@ REACH = 1
 #: Letters of benchmark items that are sent to the tasks at once.
 ITEM_LETTERS = 4_000_000
 #: Letters of documents worked on at once, letters among which hits are counted at once, and width of a half band of diagonals as a power of two.
-STEP_LETTERS, COUNTED, BAND = 250_000, 16_000, 3
+STEP_LETTERS, COUNTED, BAND = 250_000, 16_000, 2
+#: Places of candidates looked at at once.
+PLACES = 2_000_000
 
 FOUND = "doc_id long, item_id long, cover double, passages int"
 
@@ -70,13 +72,16 @@ class Items:
             distinct, first = np.unique(h, return_index=True)
             sieve = np.zeros(1 << 22, bool)
             sieve[distinct >> np.uint64(42)] = True
-            self.tables.append((int(q), distinct, np.append(first, len(h)), who[order], at[order], sieve))
+            both = np.repeat(np.arange(len(distinct)), np.diff(np.append(first, len(h)))) * len(ids) + who[order]  # ascending: equal hashes keep the order of items
+            held = np.zeros(1 << 22, bool)
+            held[both & len(held) - 1] = True
+            self.tables.append((int(q), distinct, np.append(first, len(h)), who[order], at[order], sieve, both, held))
 
     def pieces(self, cps: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         """For each table (positions of text that hold some piece of it, numbers of those pieces)."""
         out = []
         inner = np.ones(len(cps) + 1, np.int64)
-        for q, distinct, _, _, _, sieve in self.tables:
+        for q, distinct, _, _, _, sieve, _, _ in self.tables:
             x = window_hashes(cps, q)
             p = np.flatnonzero(sieve[x >> np.uint64(42)])
             k = np.searchsorted(distinct, x[p])
@@ -91,12 +96,22 @@ class Items:
 
     def expand(self, table: int, p: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
         """(item, offset in item, position in text) of all hits of pieces ``k`` at positions ``p``."""
-        _, _, first, who, at, _ = self.tables[table]
+        first, who, at = self.tables[table][2:5]
         lo, n = first[k], first[k + 1] - first[k]
         end = np.cumsum(n)
         j = np.repeat(lo - end + n, n) + np.arange(end[-1] if len(end) else 0)
         return who[j], at[j], np.repeat(p, n)
 
+    def of(self, table: int, k: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, offset in item) of the hits of pieces ``k`` in the one item given for each."""
+        at, both, held = self.tables[table][4], *self.tables[table][6:]
+        key = k * len(self.ids) + item
+        row = np.flatnonzero(held[key & len(held) - 1])
+        lo, hi = np.searchsorted(both, key[row], "left"), np.searchsorted(both, key[row], "right")
+        n = hi - lo
+        end = np.cumsum(n)
+        return np.repeat(row, n), at[np.repeat(lo - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+
 
 def myers(pattern: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(least edit distance of each pattern row to any substring of its text row, column after that substring).
@@ -127,7 +142,7 @@ def myers(pattern: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _candidates(items: Items, cps: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows (document, item, offset in item, offset in document): all hits of the pairs that hold the needed pieces within one band.
+    """Rows (document, item, offset in item, offset in document): all hits of the pairs that may hold the needed pieces within one band.
 
     Bands are 2 << BAND diagonals wide and overlap by half, so a passage may drift by 1 << BAND letters. Hits are counted
     in stretches of text that overlap by two items, so that every passage lies in one stretch whole and memory is bounded.
@@ -151,26 +166,26 @@ def _candidates(items: Items, cps: np.ndarray, off: np.ndarray) -> np.ndarray:
             good = key[both >= items.need[key // (span >> BAND)]]
             if not len(good):
                 continue
-            kept = np.isin(who, np.unique(good // (span >> BAND)))
-            who, at, pos = who[kept], at[kept], pos[kept]
-            mine = who * (span >> BAND) + (pos - at + items.longest >> BAND)
-            near = np.isin(mine, np.concatenate([good, good + 1]))
-            pairs.append(np.unique((np.searchsorted(off[1:], pos[near], "right")) * n_items + who[near]))
+            item, low = good // (span >> BAND), (good % (span >> BAND) << BAND) - items.longest
+            d0 = np.searchsorted(off[1:], np.maximum(low, 0), "right")  # the documents that these diagonals pass
+            d1 = np.searchsorted(off[1:], np.minimum(low + items.length[item] + (2 << BAND), len(cps) - 1), "right")
+            for more in range(int((d1 - d0).max()) + 1):
+                pairs.append(((d0 + more) * n_items + item)[d0 + more <= d1])
     if not pairs:
         return np.zeros((4, 0), np.int64)
     pairs = np.unique(np.concatenate(pairs))
-    wanted = np.zeros(((len(off) - 1), n_items), bool)
-    wanted.ravel()[pairs] = True
-    some = wanted.any(1)
+    doc, item = np.divmod(pairs, n_items)
     out = []
     for t, (p, k) in enumerate(place):
-        doc = np.searchsorted(off[1:], p, "right")
-        p, k, doc = p[some[doc]], k[some[doc]], doc[some[doc]]
-        for a in range(0, len(p), COUNTED):
-            who, at, pos = items.expand(t, p[a : a + COUNTED], k[a : a + COUNTED])
-            d = np.searchsorted(off[1:], pos, "right")
-            own = wanted[d, who]
-            out.append(np.stack([d[own], who[own], at[own], (pos - off[d])[own]]))
+        own = items.piece[item] == items.tables[t][0]
+        first, n = np.searchsorted(p, off[doc[own]]), np.diff(np.searchsorted(p, np.stack([off[doc[own]], off[doc[own] + 1]])), axis=0)[0]
+        cuts = np.searchsorted(np.cumsum(n), np.arange(PLACES, int(n.sum()), PLACES))
+        for part in np.split(np.arange(len(n)), cuts):
+            m = n[part]
+            j = np.repeat(first[part] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            d, i = np.repeat(doc[own][part], m), np.repeat(item[own][part], m)
+            row, at = items.of(t, k[j], i)
+            out.append(np.stack([d[row], i[row], at, p[j[row]] - off[d[row]]]))
     return np.concatenate(out, 1)
 
 
@@ -198,11 +213,11 @@ def _passages(items: Items, kind: int, cps: np.ndarray, off: np.ndarray, hits: n
     span = items.longest + 1
     for phase in (0, 1):  # two ladders of bands, shifted by half a band
         d, i, a, p = hits
-        band = (p - a >> BAND) + phase >> 1
-        order = np.lexsort((p, a, band, i, d))
-        d, i, a, p, band = d[order], i[order], a[order], p[order], band[order]
+        band = ((p - a >> BAND) + phase >> 1) + items.longest
         if not len(d):
             continue
+        order = np.argsort(((d * len(items.ids) + i) * (int(band.max()) + 1) + band) * span + a)
+        d, i, a, p, band = d[order], i[order], a[order], p[order], band[order]
         group = _groups(np.stack([d, i, band]))
         many = np.bincount(group)[group] >= least[i]
         if phase:  # a band whose hits lie in one half is part of a band of the first ladder
