@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: Samples of one cell of a stream.
 CELL = 1 << 15
+#: How many times longer than the evidence a length may read before its unit is milliseconds: the square root of a thousand.
+MILLI_RATIO = 31.622776601683793
 CONTEXT = r"^(?i)CH\s*0*[0-9]+$"
 
 
@@ -144,3 +146,30 @@ def sync_windows(plan: DataFrame, stride_sec: float, keep: Sequence[str]) -> Dat
     w = plan.where("n_windows > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_windows").cast("long") - 1)))
     e, a = F.col("eeg_start_sample") + F.col("de") + F.col("k") * F.col("se"), F.col("a0") + F.col("k") * F.col("sa")
     return w.select(*keep, "k", e.alias("eeg_start"), (e + F.col("we")).alias("eeg_stop"), a.alias("audio_start"), (a + F.col("wa")).alias("audio_stop"), (F.col("k") * stride_sec).alias("offset_sec"), "audio_rate")
+
+
+def in_milliseconds(value: Column, evidence: Sequence[Column]) -> Column:
+    """Is a length that should be in seconds in milliseconds? Judged by other lengths of the same row, in seconds.
+
+    The unit is the one in which ``value`` is nearer, by ratio, to the least of the positive lengths of ``evidence``;
+    null or non-positive evidence says nothing, and without any the value is in seconds. A null value gives false.
+    """
+    known = [F.when(e > 0, e) for e in evidence]
+    least = F.least(*known) if len(known) > 1 else known[0]
+    return F.coalesce(value > F.lit(MILLI_RATIO) * least, F.lit(False))
+
+
+def window_scale(columns: Sequence[str]) -> Column:
+    """1 or 0.001, the seconds in one unit of a window row's ``window_sec`` and ``stride_sec``, by its EEG span, sample counts and trial duration, as far as there are any."""
+    rate = F.col("eeg_sampling_rate_hz")
+    found = [F.try_divide((F.col("eeg_stop_sample") - F.col("eeg_start_sample")).cast("double"), rate)]
+    found += [F.try_divide(F.col(c).cast("double"), rate) for c in ("eeg_sample_count", "valid_eeg_samples") if c in columns]
+    found += [F.col("source_trial_eeg_duration_sec")] if "source_trial_eeg_duration_sec" in columns else []
+    return F.when(in_milliseconds(F.col("window_sec"), found), F.lit(0.001)).otherwise(F.lit(1.0))
+
+
+#: The same in SQL, for a row of the window table.
+WINDOW_SCALE_SQL = (
+    "CASE WHEN window_sec > sqrt(1000.0::DOUBLE) * list_min(list_filter([(eeg_stop_sample - eeg_start_sample) / eeg_sampling_rate_hz, eeg_sample_count / eeg_sampling_rate_hz,"
+    " valid_eeg_samples / eeg_sampling_rate_hz, source_trial_eeg_duration_sec], lambda x : x > 0)) THEN 0.001 ELSE 1.0 END"
+)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import text as X
 from cohortloom.operators import audit as A
+from cohortloom.operators import intervals as I
 from cohortloom.store import table
 
 
@@ -140,11 +141,10 @@ def dataset_checks(s, d):
     w = table(s, d, "pl_windows")
     t = _t(s, d).select("record_id").distinct().withColumn("known", F.lit(1))
     x = w.join(t, "record_id", "left")
-    sec = lambda c: F.when(F.col(c) > 100, F.col(c) / 1000).otherwise(F.col(c))
     span = F.col("eeg_stop_sample") - F.col("eeg_start_sample")
     checks = {
         "unknown_record": F.col("known").isNull(), "unknown_split": ~F.lower(F.trim("split")).isin("train", "valid", "validation", "test"), "sampling_rate": F.col("eeg_sampling_rate_hz") != 250,
-        "stale_sample_count": F.col("eeg_sample_count") != span, "wrong_length": span != F.rint(sec("window_sec") * F.col("eeg_sampling_rate_hz")).cast("long"),
+        "stale_sample_count": F.col("eeg_sample_count") != span, "wrong_length": span != F.rint(F.col("window_sec") * I.window_scale(w.columns) * F.col("eeg_sampling_rate_hz")).cast("long"),
         "audio_interval": F.col("audio_stop_sample") <= F.col("audio_start_sample"), "null_char_count": F.col("char_count").isNull(),
     }
     one = x.agg(*[F.count_if(v).alias(k) for k, v in checks.items()])
@@ -249,7 +249,7 @@ _R = "round(CASE WHEN count(a + b) >= 3 AND min(a) FILTER (b IS NOT NULL) < max(
 _CLEAN = "CASE WHEN lower(trim(split)) = 'validation' THEN 'valid' ELSE lower(trim(split)) END"
 _CHECKS = [
     ("unknown_record", "record_id NOT IN (SELECT record_id FROM trial_manifest)"), ("unknown_split", "lower(trim(split)) NOT IN ('train', 'valid', 'validation', 'test')"), ("sampling_rate", "eeg_sampling_rate_hz <> 250"),
-    ("stale_sample_count", "eeg_sample_count <> eeg_stop_sample - eeg_start_sample"), ("wrong_length", "eeg_stop_sample - eeg_start_sample <> round_even(CASE WHEN window_sec > 100 THEN window_sec / 1000 ELSE window_sec END * eeg_sampling_rate_hz, 0)"),
+    ("stale_sample_count", "eeg_sample_count <> eeg_stop_sample - eeg_start_sample"), ("wrong_length", f"eeg_stop_sample - eeg_start_sample <> round_even(window_sec * {I.WINDOW_SCALE_SQL} * eeg_sampling_rate_hz, 0)"),
     ("audio_interval", "audio_stop_sample <= audio_start_sample"), ("null_char_count", "char_count IS NULL"),
 ]
 _VIOL = [*[(f"empty_{r}", f"coalesce({r}, '') = ''") for r in A.REQUIRED], ("unknown_paradigm", f"paradigm NOT IN {A.PARADIGMS}"), ("unknown_split", f"split NOT IN {A.SPLITS}"), ("unknown_alignment", f"text_alignment_status NOT IN {A.ALIGNMENTS}"),
