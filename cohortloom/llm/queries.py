@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm import alike, cut, families, leak, mixing, overlap, reading, sample
+from cohortloom.operators.intervals import WINDOW_SCALE_SQL
 from cohortloom.store import table
 
 
@@ -144,9 +145,20 @@ t AS (SELECT coalesce(c.family, g) AS family, g, s, n FROM (SELECT lower(trim(sp
 SQL: dict[str, str] = {
     "p2_found": _FAMILY + "SELECT family AS family_id FROM t GROUP BY family HAVING count(DISTINCT s) > 1",
     "p2_torn": _FAMILY + "SELECT family AS family_id, string_agg(DISTINCT s, '+' ORDER BY s) AS splits, count(DISTINCT g)::BIGINT AS n_groups, sum(n)::BIGINT AS n_rows FROM t GROUP BY family HAVING count(DISTINCT s) > 1",
-    "p6_found": """
-SELECT DISTINCT window_id FROM pl_windows
-WHERE eeg_stop_sample - eeg_start_sample > round_even(CASE WHEN window_sec > 100 THEN window_sec / 1000 ELSE window_sec END * eeg_sampling_rate_hz, 0)""",
+    "p6_found": f"SELECT DISTINCT window_id FROM pl_windows WHERE eeg_stop_sample - eeg_start_sample > round_even(window_sec * {WINDOW_SCALE_SQL} * eeg_sampling_rate_hz, 0)",
+    "p6_pieces": f"""
+WITH RECURSIVE o AS (SELECT DISTINCT window_id, eeg_file, eeg_start_sample AS a, eeg_stop_sample AS z, round_even(window_sec * scale * eeg_sampling_rate_hz, 0)::BIGINT AS lim, round_even((window_sec - stride_sec) * scale * eeg_sampling_rate_hz, 0)::BIGINT AS over
+  FROM (SELECT *, {WINDOW_SCALE_SQL} AS scale FROM pl_windows) WHERE eeg_stop_sample - eeg_start_sample > round_even(window_sec * scale * eeg_sampling_rate_hz, 0)),
+w AS (SELECT window_id, eeg_file, a, z, lim, greatest(0, least(coalesce(over, 0), lim - 1)) AS over, (row_number() OVER (PARTITION BY window_id ORDER BY a, z, lim, over, eeg_file) - 1)::INTEGER AS variant FROM o WHERE lim > 0),
+k AS (SELECT DISTINCT eeg_file, CASE WHEN trial_type IN ('ROWS', 'ROWE') THEN trial_type WHEN regexp_full_match(upper(trim(trial_type)), 'CH[ ]*[0-9]+') THEN 'CH' END AS kind, sample FROM marker_stream),
+l AS (SELECT window_id, variant, list(sample) FILTER (kind = 'CH') AS c, list(sample) FILTER (kind = 'ROWS') AS s, list(sample) FILTER (kind = 'ROWE') AS e FROM w JOIN k USING (eeg_file) WHERE sample > a AND sample < z AND kind IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT w.*, list_filter(list_transform(coalesce(c, []), lambda x : list_min(list_filter(coalesce(s, []), lambda y : y >= x))), lambda x : x IS NOT NULL) AS c, coalesce(s, []) AS s, coalesce(e, []) AS e FROM w LEFT JOIN l USING (window_id, variant)),
+r AS (SELECT *, -1 AS piece, 0::BIGINT AS start_sample, NULL::BIGINT AS stop_sample, '' AS cut FROM m
+UNION ALL SELECT window_id, eeg_file, a, z, lim, over, variant, c, s, e, piece + 1, b, coalesce(x.at, CASE WHEN b + lim >= z THEN z ELSE b + lim END), CASE WHEN b + lim >= z THEN 'end' WHEN x.at IS NULL THEN 'sample' ELSE x.kind END
+  FROM (SELECT *, CASE WHEN b + lim >= z THEN NULL WHEN p IS NOT NULL THEN {{'at': p, 'kind': 'chapter'}} WHEN q IS NOT NULL THEN {{'at': q, 'kind': 'ROWS'}} WHEN u IS NOT NULL THEN {{'at': u, 'kind': 'ROWE'}} END AS x
+    FROM (SELECT *, list_max(list_filter(c, lambda v : v > b + over AND v <= b + lim)) AS p, list_max(list_filter(s, lambda v : v > b + over AND v <= b + lim)) AS q, list_max(list_filter(e, lambda v : v > b + over AND v <= b + lim)) AS u
+      FROM (SELECT *, coalesce(stop_sample - over, a) AS b FROM r WHERE cut <> 'end'))))
+SELECT window_id, variant, piece::INTEGER AS piece, start_sample, stop_sample, cut FROM r WHERE piece >= 0""",
     "p4_sample": """
 WITH seed AS (SELECT split_seed FROM trial_manifest WHERE load_no = (SELECT min(load_no) FROM trial_manifest) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
 g AS (SELECT lower(trim(split_group_id)) id, min(load_no)::INTEGER first_load FROM trial_manifest GROUP BY 1),

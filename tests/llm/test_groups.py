@@ -102,16 +102,18 @@ def test_pieces(frame, monkeypatch):
     for r in cut.pieces(frame([*windows, windows[1]], WINDOW).selectExpr("*", "1 AS limit", "1 AS cell"), m).orderBy("window_id", "piece").collect():
         got.setdefault(r.window_id, []).append((r.start_sample, r.stop_sample, r.cut))
     for name, f, a, z, size, stride, rate in windows:
-        size, stride = (x / 1000 if x and x > 100 else x for x in (size, stride))
+        size, stride = (x / 1000 if x and name == "ms" else x for x in (size, stride))
         limit = round(size * rate)
         if z is None or limit <= 0 or z - a <= limit:
             assert name not in got
             continue
         over = max(0, min(limit - 1, round((size - stride) * rate) if stride is not None else 0))
+        at = {k: sorted(x for g, kind, x in markers if g == f and kind == k and a < x < z) for k in ("ROWS", "ROWE", "CH01")}
+        at["chapter"] = sorted({min(r) for c in at["CH01"] if (r := [x for x in at["ROWS"] if x >= c])})
         want, s = [], a
         while s + limit < z:
-            for kind in ("ROWS", "ROWE"):
-                inside = [x for g, k, x in markers if g == f and k == kind and s + over < x <= s + limit]
+            for kind in ("chapter", "ROWS", "ROWE"):
+                inside = [x for x in at[kind] if s + over < x <= s + limit]
                 if inside:
                     want.append((s, max(inside), kind))
                     break
@@ -121,3 +123,11 @@ def test_pieces(frame, monkeypatch):
         want.append((s, z, "end"))
         assert got[name] == want, name
     assert cut.pieces(frame([], WINDOW), m).count() == 0
+
+
+def test_units_are_judged_by_the_row_and_differing_rows_all_stay(frame):
+    m = frame([], "eeg_file string, trial_type string, sample long")
+    w = frame([("long", "f", 0, 60_000, 150.0, 150.0, 250), ("ms", "f", 0, 1500, 2000.0, 2000.0, 250), ("two", "f", 0, 900, 1.0, 1.0, 250), ("two", "f", 100, 900, 2.0, 2.0, 250), ("two", "f", 100, 900, 2.0, 2.0, 250)], WINDOW)
+    got = [(r.window_id, r.variant, r.start_sample, r.stop_sample) for r in cut.pieces(w, m).orderBy("window_id", "variant", "piece").collect()]
+    assert got[:2] == [("long", 0, 0, 37_500), ("long", 0, 37_500, 60_000)] and [x for x in got if x[0] == "ms"] == [("ms", 0, 0, 500), ("ms", 0, 500, 1000), ("ms", 0, 1000, 1500)]
+    assert {x[1] for x in got if x[0] == "two"} == {0, 1} and sum(x[0] == "two" for x in got) == 4 + 2
