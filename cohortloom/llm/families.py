@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from cohortloom.functions.ids import hash_fraction
 from cohortloom.llm.overlap import clean_split
 from cohortloom.store import materialize
 
@@ -90,7 +91,7 @@ def assign(weights: DataFrame, seed: int = 42, shares: tuple = SHARES) -> DataFr
         lack[s] -= r.weight
         placed.append((r.family, s))
     big = spark.createDataFrame(placed, T.StructType([T.StructField("family", weights.schema["family"].dataType), T.StructField("assigned", T.StringType())]))
-    small = w.where(F.col("weight") <= HEAVY * total).withColumn("order", F.xxhash64("family", F.lit(seed))).withColumn("range", F.pmod(F.shiftright("order", 40), F.lit(RANGES)))
+    small = w.where(F.col("weight") <= HEAVY * total).withColumn("order", hash_fraction(F.lit(str(seed)), F.col("family"))).withColumn("range", F.floor(F.col("order") * RANGES).cast("int"))
     sums = small.groupBy("range").agg(F.sum("weight").alias("sum"))
     before = sums.select("range", (F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).alias("before"))
     run = small.join(F.broadcast(before), "range")  # RANGES rows at most

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm import alike, cut, families, leak, mixing, overlap, reading, sample
 from cohortloom.operators.intervals import WINDOW_SCALE_SQL
-from cohortloom.store import table
+from cohortloom.operators.joins import spread_join
+from cohortloom.store import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,30 +47,38 @@ def p2_assign(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "trial_manifest")
     counted, family = families.trial_families(m, table(spark, d, "group_links"))
     rows = m.select("row_id", "record_id", families.clean_id(F.col("split_group_id")).alias("group"))
-    grouped = rows.where(F.col("group").isNotNull()).join(family, "group").select("row_id", "record_id", "family")
     alone = rows.where(F.col("group").isNull()).select("row_id", "record_id", _own("row", "row_id").alias("family"))
-    weights = counted.join(family, "group").select("family", "n").unionByName(alone.select("family", F.lit(1).cast("long").alias("n")))
-    chosen = families.assign(weights.groupBy("family").agg(F.sum("n").alias("weight")))
-    return grouped.unionByName(alone).join(chosen, "family").select("row_id", "record_id", F.col("family").alias("family_id"), "assigned")
+    weights = counted.join(family, "group").groupBy("family").agg(F.sum("n").alias("weight")).unionByName(alone.groupBy("family").agg(F.count(F.lit(1)).alias("weight")))
+    chosen = materialize(families.assign(weights))
+    grouped = spread_join(rows.where(F.col("group").isNotNull()), family.join(chosen, "family"), ["group"], ["row_id"])
+    out = grouped.drop("group").unionByName(alone.join(chosen, "family"))
+    return out.select("row_id", "record_id", F.col("family").alias("family_id"), "assigned")
 
 
 def p2_subjects(spark: SparkSession, d: str) -> DataFrame:
     """Every window with its split, subjects whole; a window without a subject is one of its own, ``window:`` and its id."""
     w = table(spark, d, "pl_windows").select("window_id", F.coalesce(families.clean_id(F.col("subject_group_id")), _own("window", "window_id")).alias("family"))
     chosen = families.assign(w.groupBy("family").agg(F.count(F.lit(1)).alias("weight")))
-    return w.distinct().join(chosen, "family").select("window_id", F.col("family").alias("subject_group_id"), "assigned")
+    return spread_join(w.distinct(), chosen, ["family"], ["window_id"]).select("window_id", F.col("family").alias("subject_group_id"), "assigned")
+
+
+def _sampled(spark: SparkSession, d: str) -> DataFrame:
+    """(split_group_id, u, first_load) of the chosen groups that the table holds, by the register of this table."""
+    m = table(spark, d, "trial_manifest")
+    register = sample.replay(m, "split_group_id", "load_no", "split_seed", sample.Register.of(spark, f"{d}/trial_manifest", "split_group_id"))
+    here = sample.identifiers(m, "split_group_id", "load_no").select("id")
+    return register.chosen().join(here, "id", "left_semi").select(F.col("id").alias("split_group_id"), "u", "first_load")
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     """The 10 % sample of content groups, with each group's permanent number and first load."""
-    return sample.replay(table(spark, d, "trial_manifest"), "split_group_id", "load_no", "split_seed").chosen().select(F.col("id").alias("split_group_id"), "u", "first_load")
+    return _sampled(spark, d)
 
 
 def p4_rows(spark: SparkSession, d: str) -> DataFrame:
     """The trial rows of the sampled groups."""
-    m = table(spark, d, "trial_manifest")
-    chosen = sample.replay(m, "split_group_id", "load_no", "split_seed").chosen().select(F.col("id").alias("g"))
-    return m.select("row_id", "record_id", "load_no", families.clean_id(F.col("split_group_id")).alias("g")).join(chosen, "g").withColumnRenamed("g", "split_group_id")
+    m = table(spark, d, "trial_manifest").select("row_id", "record_id", "load_no", families.clean_id(F.col("split_group_id")).alias("split_group_id"))
+    return spread_join(m, _sampled(spark, d).select("split_group_id"), ["split_group_id"], ["row_id"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +151,26 @@ r AS (SELECT a AS v, a AS w FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.w =
 c AS (SELECT v, min(w) AS family FROM r GROUP BY v),
 t AS (SELECT coalesce(c.family, g) AS family, g, s, n FROM (SELECT lower(trim(split_group_id)) g, CASE WHEN lower(trim(split)) = 'validation' THEN 'valid' ELSE lower(trim(split)) END s, count(*) n FROM trial_manifest GROUP BY 1, 2) x LEFT JOIN c ON c.v = x.g)
 """
+#: Whole families to splits, from ``w`` (family, weight): the heavy ones to what lacks most, the rest end to end in hash order.
+_ASSIGN = """
+total AS (SELECT coalesce(sum(weight), 0)::DOUBLE AS t FROM w),
+heavy AS (SELECT family, weight, row_number() OVER (ORDER BY weight DESC, family) AS k FROM w, total WHERE weight > 0.005 * t),
+step AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS family, '' AS assigned, 0.8::DOUBLE * t AS a, 0.1::DOUBLE * t AS b, 0.1::DOUBLE * t AS c FROM total
+  UNION ALL SELECT k, family, s, a - CASE WHEN s = 'train' THEN weight ELSE 0 END, b - CASE WHEN s = 'valid' THEN weight ELSE 0 END, c - CASE WHEN s = 'test' THEN weight ELSE 0 END
+  FROM (SELECT h.k, h.family, h.weight, a, b, c, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'valid' ELSE 'test' END AS s FROM step JOIN heavy h ON h.k = step.k + 1)),
+lack AS (SELECT greatest(a, 0) AS a, greatest(b, 0) AS b, greatest(c, 0) AS c FROM step ORDER BY k DESC LIMIT 1),
+rest AS (SELECT family, sum(weight) OVER (ORDER BY u, family)::DOUBLE - weight / 2.0::DOUBLE AS mid FROM (SELECT family, weight, ('0x' || substr(sha256('42' || chr(0) || family), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u FROM w, total WHERE weight <= 0.005 * t)),
+edge AS (SELECT a / (a + b + c) * n AS x, a / (a + b + c) * n + b / (a + b + c) * n AS y FROM lack, (SELECT t - coalesce((SELECT sum(weight) FROM heavy), 0)::DOUBLE AS n FROM total)),
+chosen AS (SELECT family, assigned FROM step WHERE k > 0 UNION ALL SELECT family, CASE WHEN mid < x THEN 'train' WHEN mid < y THEN 'valid' ELSE 'test' END FROM rest, edge)
+"""
 SQL: dict[str, str] = {
+    "p2_assign": _FAMILY + """,
+m AS (SELECT row_id, record_id, nullif(lower(trim(split_group_id)), '') AS g FROM trial_manifest),
+k AS (SELECT row_id, record_id, coalesce(family, g, 'row:' || row_id) AS family FROM m LEFT JOIN (SELECT v, family FROM c) c ON v = g),
+w AS (SELECT family, count(*) AS weight FROM k GROUP BY 1),""" + _ASSIGN + "SELECT row_id, record_id, family AS family_id, assigned FROM k JOIN chosen USING (family)",
+    "p2_subjects": """
+WITH RECURSIVE d AS (SELECT window_id, coalesce(nullif(lower(trim(subject_group_id)), ''), 'window:' || window_id) AS family FROM pl_windows),
+w AS (SELECT family, count(*) AS weight FROM d GROUP BY 1),""" + _ASSIGN + "SELECT DISTINCT window_id, family AS subject_group_id, assigned FROM d JOIN chosen USING (family)",
     "p2_found": _FAMILY + "SELECT family AS family_id FROM t GROUP BY family HAVING count(DISTINCT s) > 1",
     "p2_torn": _FAMILY + "SELECT family AS family_id, string_agg(DISTINCT s, '+' ORDER BY s) AS splits, count(DISTINCT g)::BIGINT AS n_groups, sum(n)::BIGINT AS n_rows FROM t GROUP BY family HAVING count(DISTINCT s) > 1",
     "p6_found": f"SELECT DISTINCT window_id FROM pl_windows WHERE eeg_stop_sample - eeg_start_sample > round_even(window_sec * {WINDOW_SCALE_SQL} * eeg_sampling_rate_hz, 0)",

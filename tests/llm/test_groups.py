@@ -75,13 +75,32 @@ def test_sample_keeps_what_it_chose(frame):
     before = {x.id: x.u for x in r.numbers().collect()}
     from pyspark.sql import functions as F
 
-    r.add(frame([("new",), ("group-1",), (None,)], "id string"), 9, F.lit(0.01))
+    r.add(frame([("new", 9), ("group-1", 9), (None, 9)], "id string, first_load int"), F.lit(0.01))
     after = {x.id: x.u for x in r.numbers().collect()}
     assert {k: after[k] for k in before} == before and set(after) - set(before) == {"new"} and r.numbers().count() == len(after)
-    assert {x.id for x in r.chosen(0.2).collect()} >= {x.id for x in r.chosen(0.1).collect()}
+    ten = {x.id for x in r.chosen(0.1).collect()}
+    assert {x.id for x in r.chosen(0.2).collect()} >= ten
+    with pytest.raises(ValueError):
+        r.chosen(0.1)
     assert sample.replay(df.limit(0), "g", "load", "seed").numbers().count() == 0
 
 
+def test_a_register_met_again_keeps_its_numbers(spark, frame, tmp_path):
+    from pyspark.sql import functions as F
+
+    ids = [f"g{i}" for i in range(60)]
+    first = sample.Register(spark, str(tmp_path / "register"))
+    first.seed(5)
+    first.add(frame([(x, 1) for x in ids[:40]], "id string, first_load int"), F.when(F.col("id") == "g7", 0.5).otherwise((F.substring("id", 2, 9).cast("int") % 4) / 8))
+    rows = frame([(x.upper(), k, 42) for x in ids for k in (1, 2)], "g string, load int, seed long")
+    again = sample.replay(rows, "g", "load", "seed", sample.Register(spark, str(tmp_path / "register")))
+    got = {r.id: r.u for r in again.numbers().collect()}
+    assert len(got) == again.numbers().count() == 60 and all(got[x] == (0.5 if x == "g7" else int(x[1:]) % 4 / 8) for x in ids[:40])  # no hash is an eighth
+    assert again.seed(99) == 5 and {r.id for r in again.chosen().collect()} >= {x for x in ids[:40] if int(x[1:]) % 4 == 0}
+    with pytest.raises(ValueError):
+        sample.Register(spark, str(tmp_path / "register")).chosen(0.05)
+
+
 def test_groups_without_a_load_come_last(frame):
     rows = [("a", 2, 42), ("b", 1, 42), ("b", None, 42), ("c", None, 7), (None, None, 42)]
     got = {r.id: r.first_load for r in sample.replay(frame(rows, "g string, load int, seed long"), "g", "load", "seed").numbers().collect()}
