@@ -2,7 +2,12 @@
 
 A classifier fitted on labelled documents gives every document posteriors over the sources (soft membership).
 Projected-gradient least squares then finds document rates, between 0 and the cap of the source, whose expected token
-totals per source match the targets. Rates become whole repeats by systematic rounding within each source.
+totals per source match the targets; the totals of the documents that state a source must match them too, and where
+both cannot be had, these come first. So the text says which documents of a source are taken, not how much the source
+gives. Rates become whole repeats by systematic rounding within each source.
+
+The text's posteriors are calibrated on held-out documents, by one temperature. A document's own source is evidence
+too: how far it is trusted is counted on the same held-out documents, as the share that the text outvotes.
 """
 
 from __future__ import annotations
@@ -26,9 +31,8 @@ TOKENIZER = os.environ.get("COHORTLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_mul
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Labelled documents that the classifier is fitted on, at most, by a hash of doc_id.
 MOST_LABELLED = 4_000
-#: How surely a document's own source label is right, and the least share a posterior from text keeps for any source.
-LABEL_TRUST, POSTERIOR_FLOOR = 0.9999, 0.1
-STEPS = 12
+#: Change of a pass, as a share of all tokens, below which the rates stand: of the joint fit and of the stated totals alone; and passes after which a fit that still moves is refused.
+STILL, EXACT, MOST_PASSES = 1e-3, 1e-6, 400
 
 
 def clean_source(c: Column) -> Column:
@@ -78,106 +82,181 @@ class Softmax:
             w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
         return Softmax(w, bias)
 
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.w + self.bias
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        z = x @ self.w + self.bias
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+        return softmax(self.logits(x))
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)
 
 
-def members(documents: DataFrame, sources: list[str], path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens, m): tokens of the whole text and the posteriors over ``sources``, in their order.
+class Membership:
+    """Posteriors over the sources from text and own source.
 
-    The text's posterior, floored, is joined by Bayes' rule with the document's own source label, trusted by
-    LABEL_TRUST; a document without a listed source has the text's posterior alone.
+    ``temperature`` divides the logits; it is the one with the least loss on documents that the model was not fitted
+    on. ``trust[l, j]``: how probable source j is for a document that says l. Where the calibrated text gives another
+    source more than half of the probability, it outvotes the label; the outvoted held-out documents of each label,
+    with one agreeing document added to each, are counted.
     """
+
+    def __init__(self, model: Softmax, temperature: float, trust: np.ndarray, report: dict[str, float]):
+        self.model, self.temperature, self.trust, self.report = model, temperature, trust, report
+
+    @staticmethod
+    def fit(x: np.ndarray, y: np.ndarray, k: int) -> Membership:
+        """``y`` from 0. Without documents the posteriors are even and labels fully trusted."""
+        if not len(y):
+            return Membership(Softmax(np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32)), 1.0, np.eye(k), {"n_labelled": 0, "accuracy": None, "log_loss": None, "calibration_error": None, "temperature": 1.0, "outvoted": 0.0})
+        fold = np.arange(len(y)) % 2
+        z = np.zeros((len(y), k))
+        for f in (0, 1):
+            z[fold == f] = Softmax.fit(x[fold != f], y[fold != f], k).logits(x[fold == f])
+        at = np.arange(len(y))
+        loss = lambda t: -np.log(np.maximum(1e-12, softmax(z / t)[at, y])).mean()
+        grid = np.exp(np.linspace(np.log(0.25), np.log(8), 41))
+        t = float(grid[np.argmin([loss(g) for g in grid])])
+        p = softmax(z / t)
+        best, sure = p.argmax(1), p.max(1)
+        against = (best != y) & (sure > 0.5)
+        count = np.eye(k) + np.zeros((k, k))
+        np.add.at(count, (y[~against], y[~against]), 1)
+        np.add.at(count, (y[against], best[against]), 1)
+        bins = np.minimum((sure * 10).astype(int), 9)
+        off = sum(abs((best == y)[bins == b].mean() - sure[bins == b].mean()) * (bins == b).mean() for b in np.unique(bins))
+        report = {"n_labelled": len(y), "accuracy": float((best == y).mean()), "log_loss": float(loss(t)), "calibration_error": float(off), "temperature": t, "outvoted": float(against.mean())}
+        return Membership(Softmax.fit(x, y, k), t, count / count.sum(1, keepdims=True), report)
+
+    def __call__(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Posteriors of documents with features ``x`` and own source ``own`` from 1, 0 where it has none that is listed."""
+        q = softmax(self.model.logits(x) / self.temperature)
+        known = np.flatnonzero(own > 0)
+        q[known] = np.maximum(q[known], 1e-12) * self.trust[own[known] - 1]
+        return (q / q.sum(1, keepdims=True)).astype(np.float32)
+
+
+def _documents(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), clean_source(F.col("source")).alias("source"), "text")
+
+
+def _place(sources: list[str]) -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source")).cast("int")
+
+
+def membership(documents: DataFrame, sources: list[str]) -> Membership:
+    """The classifier of ``sources``, fitted on MOST_LABELLED documents that name one of them."""
+    docs = _documents(documents)
+    x, y = sampled(docs.where(F.col("source").isin(*sources)).select("doc_id", _place(sources).alias("level")), docs, "doc_id", MOST_LABELLED, "level")
+    return Membership.fit(x, y.astype(int) - 1, len(sources))
+
+
+def members(documents: DataFrame, sources: list[str], model: Membership, path: str = TOKENIZER) -> DataFrame:
+    """(doc_id, source, y, tokens, m): own source and its number from 1 (0: none listed), tokens of the whole text and the posteriors over ``sources``, in their order."""
     k = len(sources)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), clean_source(F.col("source")).alias("source"), "text")
-    place = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source")).cast("int")
-    x, y = sampled(docs.where(F.col("source").isin(*sources)).select("doc_id", place.alias("level")), docs, "doc_id", MOST_LABELLED, "level")
-    if len(y):
-        model = Softmax.fit(x, y.astype(int) - 1, k)
-    else:
-        model = Softmax(np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32))
-    schema = "doc_id long, source string, tokens long, m array<float>"
+    schema = "doc_id long, source string, y int, tokens long, m array<float>"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from cohortloom.llm.letters import steps
 
         for b in it:
             for first, texts in steps(b.column("text")):
-                q = (1 - POSTERIOR_FLOOR) * model(features(texts)) + POSTERIOR_FLOOR / k
-                y = np.asarray(b.column("y").slice(first, len(texts)).fill_null(0))
-                trust = np.full((len(texts), k), (1 - LABEL_TRUST) / max(1, k - 1))
-                trust[np.arange(len(texts))[y > 0], y[y > 0] - 1] = LABEL_TRUST
-                trust[y == 0] = 1
-                q = q * trust
-                q = (q / q.sum(1, keepdims=True)).astype(np.float32)
                 part = b.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("tokens"), pa.ListArray.from_arrays(pa.array(np.arange(0, q.size + 1, k, dtype=np.int32)), pa.array(q.ravel()))], ["doc_id", "source", "tokens", "m"])
+                q = model(features(texts), np.asarray(part.column("y")))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "source", "y", "tokens")], pa.ListArray.from_arrays(pa.array(np.arange(0, q.size + 1, k, dtype=np.int32)), pa.array(q.ravel()))], ["doc_id", "source", "y", "tokens", "m"])
+
+    docs = _documents(documents)
+    return docs.select("doc_id", "source", F.coalesce(_place(sources), F.lit(0)).alias("y"), F.coalesce(token_count(F.col("text"), path), F.lit(0)).alias("tokens"), "text").mapInArrow(run, schema)
 
-    return docs.select("doc_id", "source", F.coalesce(place, F.lit(0)).alias("y"), F.coalesce(token_count(F.col("text"), path), F.lit(0)).alias("tokens"), "text").mapInArrow(run, schema)
 
+def _rates(batch: pa.RecordBatch, caps: np.ndarray, history: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rates after the steps of ``history``, posteriors, how each document counts in the stated totals).
 
-def _rates(batch: pa.RecordBatch, caps: np.ndarray, history: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps of ``history``, replayed; each step goes against the document's expected gradient."""
+    The steps are replayed: each is one of the expected totals, for every source, then one of the stated totals.
+    """
     m = np.asarray(batch.column("m").flatten(), float).reshape(batch.num_rows, k)
-    cap = m @ caps
     own = np.asarray(batch.column("y"))
-    cap = np.where(own > 0, caps[np.maximum(own - 1, 0)], cap)
+    stated = np.where((own > 0)[:, None], np.eye(k)[np.maximum(own - 1, 0)], m)
+    cap = stated @ caps
     r = np.minimum(1.0, cap)
     for step in history:
-        r = np.clip(r + m @ step, 0, cap)
-    return r, m
+        r = np.clip(r + m @ step[:k] + stated @ step[k:], 0, cap)
+    return r, m, stated
 
 
-def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, steps: int = STEPS) -> DataFrame:
-    """(doc_id, source, tokens, rate, repeats) of every document.
+def _sources(targets: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Clean sources, shares and caps: one row a source."""
+    rows = targets.where(F.col("source").isNotNull()).groupBy(clean_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("source").collect()
+    return [r.source for r in rows], np.array([float(r.share) for r in rows]), np.array([float(r.cap) for r in rows])
 
-    Each source is to give ``target_share`` of as many tokens as the corpus has, no document more than its source's
-    ``max_repeats`` times; where the cap makes a target unreachable, all its documents are at the cap and the actual
-    share says so. Documents of no listed source follow their posteriors. Null and blank texts have 0 tokens.
 
-    Least squares in relative terms: the residual of a source is divided by the tokens it holds, and rates are scaled
-    by tokens, so that a step is of the right length for every source. A pass sums one number per source and step; the
-    rates are replayed from the summed steps and never stored. Rounding: within a source, in the order of token
-    count, a document gets one repeat more where the running sum of fractions passes a whole number; running sums are
-    taken within ranges of bounded size whose totals are summed before.
+def rates(held: DataFrame, share: np.ndarray, caps: np.ndarray) -> tuple[list[np.ndarray], dict[str, float]]:
+    """Steps whose replay gives every document's rate, and how the fit ended: passes, and the residuals of expected and stated totals.
+
+    Least squares in relative terms: the residual of a source is divided by the tokens it holds, and rates are scaled by
+    tokens, so that a step is of the right length for every source. A pass sums two numbers per source; the rates are
+    replayed from the steps and never stored. First both residuals are brought down, half a step for each; when a pass
+    moves the totals by less than STILL, the stated totals alone, until a pass moves them by less than EXACT. What is
+    then left of their residual is out of reach of the caps.
     """
-    spark = documents.sparkSession
-    rows = targets.where(F.col("source").isNotNull()).groupBy(clean_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("source").collect()  # one row a source
-    sources, caps = [r.source for r in rows], np.array([float(r.cap) for r in rows])
-    k = len(sources)
-    if not k:
-        return spark.createDataFrame([], "doc_id long, source string, tokens long, rate double, repeats int")
-    place = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source")).cast("int"), F.lit(0))
-    held = materialize(members(documents, sources, path)).withColumn("y", place)
-    schema = ", ".join(["tokens double", "have array<double>", "hold array<double>"])
+    k = len(share)
+    names = ("expected", "stated", "hold_e", "hold_s")
+    schema = "tokens double, v array<double>"
 
     def sums(history):
         def run(it):
-            have, hold, total = np.zeros(k), np.zeros(k), 0.0
+            v, total = np.zeros(4 * k), 0.0
             for b in it:
-                r, m = _rates(b, caps, history, k)
+                r, m, own = _rates(b, caps, history, k)
                 t = np.asarray(b.column("tokens"), float)
-                have, hold, total = have + (r * t) @ m, hold + t @ m, total + t.sum()
-            yield pa.RecordBatch.from_pydict({"tokens": pa.array([total]), "have": pa.array([have.tolist()], pa.list_(pa.float64())), "hold": pa.array([hold.tolist()], pa.list_(pa.float64()))})
+                v, total = v + np.concatenate([(r * t) @ m, (r * t) @ own, t @ m, t @ own]), total + t.sum()
+            yield pa.RecordBatch.from_pydict({"tokens": pa.array([total]), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
-        out = held.mapInArrow(run, schema)
-        r = out.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("have")[i]).alias(f"a{i}") for i in range(k)], *[F.sum(F.col("hold")[i]).alias(f"h{i}") for i in range(k)]).first()
-        return (r.n or 0.0), np.array([r[f"a{i}"] or 0.0 for i in range(k)]), np.array([r[f"h{i}"] or 0.0 for i in range(k)])
+        r = held.mapInArrow(run, schema).agg(F.sum("tokens").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(4 * k)]).first()
+        return (r.n or 0.0), dict(zip(names, np.array([r[f"v{i}"] or 0.0 for i in range(4 * k)]).reshape(4, k)))
 
-    share = np.array([float(r.share) for r in rows])
     history: list[np.ndarray] = []
-    for _ in range(steps):
-        total, have, hold = sums(history)
-        step = (share * total - have) / np.maximum(hold, 1e-9)
-        if np.abs(share * total - have).sum() <= 1e-6 * max(1.0, total):
+    joint, before = True, None
+    while True:
+        total, now = sums(history)
+        missing = {n: share * total - now[n] for n in names[:2]}
+        moved = np.inf if before is None else max(np.abs(now[n] - before[n]).sum() for n in names[:2]) / max(1.0, total)
+        if joint and moved <= STILL:
+            joint, moved = False, np.inf
+        if not total or (not joint and (moved <= EXACT or np.abs(missing["stated"]).sum() <= EXACT * total)):
             break
-        history.append(step)
+        if len(history) >= MOST_PASSES:
+            raise RuntimeError(f"the rates still move after {MOST_PASSES} passes")
+        e, s = (missing[n] / np.maximum(now[h], 1e-9) for n, h in zip(names[:2], names[2:]))
+        history.append(np.concatenate([0.5 * e, 0.5 * s] if joint else [0 * e, s]))
+        before = now
+    left = {f"residual_{n}": float(np.abs(missing[n]).sum() / total) if total else 0.0 for n in names[:2]}
+    return history, {"passes": len(history) + 1} | left
+
+
+def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """(doc_id, source, tokens, rate, repeats) of every document.
+
+    Each source is to give ``target_share`` of as many tokens as the corpus has, no document more than its own source's
+    ``max_repeats`` times; where the cap makes a target unreachable, all its documents are at the cap and the actual
+    share says so. Documents of no listed source count by their posteriors. Null and blank texts have 0 tokens.
+
+    Rounding: within a source, in the order of token count, a document gets one repeat more where the running sum of
+    fractions passes a whole number; running sums are taken within ranges of bounded size whose totals are summed before.
+    """
+    spark = documents.sparkSession
+    sources, share, caps = _sources(targets)
+    k = len(sources)
+    if not k:
+        return spark.createDataFrame([], "doc_id long, source string, tokens long, rate double, repeats int")
+    held = materialize(members(documents, sources, membership(documents, sources), path))
+    history, _ = rates(held, share, caps)
 
     def final(it):
         for b in it:
-            r, _ = _rates(b, caps, history, k)
+            r, _, _ = _rates(b, caps, history, k)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("tokens"), b.column("y"), pa.array(r)], ["doc_id", "source", "tokens", "y", "rate"])
 
     rated = held.mapInArrow(final, "doc_id long, source string, tokens long, y int, rate double")
@@ -192,6 +271,19 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, steps:
     return run.select("doc_id", "source", "tokens", "rate", (F.col("whole") + extra).cast("int").alias("repeats"))
 
 
+def fitted(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """One row: how good the soft membership is on held-out documents, how often the text outvotes the label, and how the rates ended."""
+    spark = documents.sparkSession
+    schema = "n_labelled long, accuracy double, log_loss double, calibration_error double, temperature double, outvoted double, passes int, residual_expected double, residual_stated double"
+    sources, share, caps = _sources(targets)
+    if not sources:
+        return spark.createDataFrame([], schema)
+    model = membership(documents, sources)
+    _, end = rates(materialize(members(documents, sources, model, path)), share, caps)
+    r = model.report | end
+    return spark.createDataFrame([tuple(r[n.split()[0]] for n in schema.split(", "))], schema)
+
+
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, n_documents, most_repeats) of each source of the mix or of the targets."""
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count_if(F.col("repeats") > 0).alias("n_documents"), F.max("repeats").alias("most_repeats"), F.sum("tokens").alias("held"))

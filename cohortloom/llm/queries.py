@@ -124,6 +124,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")), table(spark, d, "mix_targets"))
 
 
+def p8_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out quality of the soft membership and the end of the fit of the rates."""
+    return mixing.fitted(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """doc_id of the documents written at level 5."""
     return reading.levels(table(spark, d, "documents"), table(spark, d, "labels")).where("level = 5").select("doc_id").distinct()
@@ -142,7 +147,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return known.groupBy("source", "lang", "level").agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.avg("grade"), 4).alias("mean_grade"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p2_found": p2_found, "p2_torn": p2_torn, "p2_assign": p2_assign, "p2_subjects": p2_subjects, "p3_found": p3_found, "p3_forms": p3_forms, "p4_sample": p4_sample, "p4_rows": p4_rows, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
+QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p2_found": p2_found, "p2_torn": p2_torn, "p2_assign": p2_assign, "p2_subjects": p2_subjects, "p3_found": p3_found, "p3_forms": p3_forms, "p4_sample": p4_sample, "p4_rows": p4_rows, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_fit": p8_fit, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
 
 _FAMILY = """
 WITH RECURSIVE l AS (SELECT lower(trim(left_group_id)) a, lower(trim(right_group_id)) b FROM group_links WHERE review_status = 'accepted'),

@@ -124,6 +124,30 @@ def test_mix(frame):
     assert mixing.mix(df, targets.limit(0)).count() == 0 and mixing.mix(df.limit(0), targets).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="no tokenizer file")
+def test_the_text_of_mislabelled_documents_moves_the_mix(frame):
+    rng = random.Random(12)
+    words = {"alpha": "river stone cloud bridge meadow", "beta": "tensor kernel matrix operator gradient"}
+    docs = []
+    for i in range(1200):
+        true = ("alpha", "beta")[i % 2]
+        said = "beta" if true == "alpha" and i % 10 == 0 else true  # a fifth of alpha's texts say beta
+        docs.append((i, " ".join(rng.choice(words[true].split()) for _ in range(rng.randrange(60, 90))), said))
+    df = frame(docs, "doc_id long, text string, source string")
+    targets = frame([("alpha", 0.5, 3), ("beta", 0.5, 3)], "source string, target_share double, max_repeats int")
+    out = mixing.mix(df, targets).collect()
+    total = sum(r.tokens for r in out)
+    assert all(abs(sum(r.tokens * r.repeats for r in out if r.source == s) / total - 0.5) < 0.01 for s in words)  # by stated source, exact
+    said_beta = [(r.rate, r.doc_id % 2) for r in out if r.source == "beta"]
+    own, strange = (np.mean([x for x, odd in said_beta if odd == k]) for k in (1, 0))
+    assert own > 1.03 * strange  # the text tells which documents of a source are taken
+    by_text = lambda rate: sum(r.tokens * rate(r) for r in out if r.doc_id % 2 == 1) / total
+    stated_only = {s: 0.5 * total / sum(r.tokens for r in out if r.source == s) for s in words}
+    assert abs(by_text(lambda r: r.rate) - 0.5) < abs(by_text(lambda r: stated_only[r.source]) - 0.5)  # and brings the totals by text nearer to their targets
+    fit = mixing.fitted(df, targets).first()
+    assert fit.accuracy > 0.85 and 0.05 < fit.outvoted < 0.15 and fit.residual_stated < 0.01
+
+
 def test_isotonic():
     k, v = reading.isotonic(np.array([3.0, 1.0, 2.0, 2.0, 4.0]), np.array([2.0, 1.0, 4.0, 2.0, 5.0]))
     assert np.interp([1, 2, 3, 4], k, v).tolist() == [1.0, 8 / 3, 8 / 3, 5.0]
