@@ -63,68 +63,109 @@ def with_audio_length(manifest: DataFrame, audio_files: DataFrame) -> DataFrame:
     return manifest.withColumn("_audio_key", key).join(length, "_audio_key", "left").drop("_audio_key")
 
 
+BROKEN = "_broken"
+
+
+def contracted(manifest: DataFrame, audio_files: DataFrame) -> DataFrame:
+    """The table with ``_broken``, the names of the columns whose contract the row breaks; nothing is joined back by row later."""
+    df = with_audio_length(manifest, audio_files)
+    return df.withColumn(BROKEN, F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in contract_checks().items()]))).drop("_audio_sec")
+
+
 def violations(manifest: DataFrame, audio_files: DataFrame) -> DataFrame:
     """(row_id, column_name) for each cell that breaks its column's contract; distinct.
 
     Repeated rows give one pair; an empty table gives none; other columns of the inputs are not read.
     """
     need = ["row_id", "audio_file", "audio_start_sec", "audio_end_sec", "eeg_start_sample", "eeg_end_sample", "eeg_sampling_rate", "eeg_duration_sec", "quality_flag", "raw_text"]
-    df = with_audio_length(manifest.select(*need), audio_files)
-    broken = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in contract_checks().items()]))
-    cells = df.select("row_id", broken.alias("broken")).where(F.size("broken") > 0)
-    return cells.select("row_id", F.explode("broken").alias("column_name")).distinct()
+    cells = contracted(manifest.select(*need), audio_files).where(F.size(BROKEN) > 0)
+    return cells.select("row_id", F.explode(BROKEN).alias("column_name")).distinct()
 
 
 def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
-def profile(df: DataFrame, load: str, columns: list[str] | None = None, found: DataFrame | None = None, row_id: str = "row_id") -> DataFrame:
-    """One row per column and load: rows, nulls, null_rate, distinct_count, min_value, max_value, violations.
+def _is_number(kind: str) -> bool:
+    return kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "timestamp", "timestamp_ntz", "date") or kind.startswith("decimal")
+
+
+def _as_number(c: str, kind: str) -> Column:
+    """A double: of times the seconds since 1970, of booleans 0 or 1; NaN is null."""
+    if kind in ("float", "double"):
+        return F.when(~F.isnan(c), F.col(c).cast("double"))
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    return F.col(c).cast("double")
+
+
+def profile(df: DataFrame, load: str, columns: list[str] | None = None) -> DataFrame:
+    """One row per column and load: rows, nulls, null_rate, distinct_count, range, violations.
 
-    Counts are exact. Ranges are of the column's own order, as text; NaN is outside the range. ``load`` may hold
-    nulls, which form a load of their own. ``found``: (row_id, column_name) pairs from ``violations``.
-    Two passes: one wide aggregate with map-side combine, and one over (load, column, value) triples for the distinct
-    counts, where equal values meet before the shuffle.
+    Counts are exact. The range is in ``min_number`` and ``max_number`` for numbers, booleans and times, in ``min_text``
+    and ``max_text`` for all else; NaN is outside the range but a distinct value. ``load`` may hold nulls, which form a
+    load of their own. Where ``df`` has the marks of ``contracted``, they are counted in the same pass. Two passes: one
+    wide aggregate with map-side combine, and one over (load, column, value) triples for the distinct counts, where equal
+    values meet before the shuffle.
     """
-    columns = columns or [c for c in df.columns if c != load]
+    columns = columns or [c for c in df.columns if c not in (load, BROKEN)]
     kinds = dict(df.dtypes)
-    ranged = {c: (F.when(~F.isnan(c), F.col(c)) if kinds[c] in ("double", "float") else F.col(c)) for c in columns}
+    none = F.lit(None)
+    bad = (lambda c: F.count_if(F.array_contains(BROKEN, c))) if BROKEN in df.columns else (lambda c: F.lit(0).cast("long"))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(columns):
-        aggs += [F.count(c).alias(f"_c{i}"), F.min(ranged[c]).cast("string").alias(f"_a{i}"), F.max(ranged[c]).cast("string").alias(f"_z{i}")]
+        v = _as_number(c, kinds[c]) if _is_number(kinds[c]) else _text(c)
+        aggs += [F.count(c).alias(f"_c{i}"), F.min(v).alias(f"_a{i}"), F.max(v).alias(f"_z{i}"), bad(c).alias(f"_b{i}")]
     wide = df.groupBy(F.col(load).alias("load")).agg(*aggs)
-    base = wide.select(
-        "load", F.col("_n").alias("n_rows"),
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_c{i}").alias("n"), F.col(f"_a{i}").alias("min_value"), F.col(f"_z{i}").alias("max_value")) for i, c in enumerate(columns)])).alias("x"),
-    ).select("load", "x.column_name", "n_rows", (F.col("n_rows") - F.col("x.n")).alias("n_null"), "x.min_value", "x.max_value")
+
+    def entry(i, c):
+        number = _is_number(kinds[c])
+        a, z = F.col(f"_a{i}"), F.col(f"_z{i}")
+        ranges = [(a if number else none).cast("double").alias("min_number"), (z if number else none).cast("double").alias("max_number"), (none if number else a).cast("string").alias("min_text"), (none if number else z).cast("string").alias("max_text")]
+        return F.struct(F.lit(c).alias("column_name"), F.col(f"_c{i}").alias("n"), *ranges, F.col(f"_b{i}").alias("n_violations"))
+
+    base = wide.select("load", F.col("_n").alias("n_rows"), F.explode(F.array(*[entry(i, c) for i, c in enumerate(columns)])).alias("x"))
+    base = base.select("load", "x.column_name", "n_rows", (F.col("n_rows") - F.col("x.n")).alias("n_null"), "x.min_number", "x.max_number", "x.min_text", "x.max_text", "x.n_violations")
     cells = df.select(F.col(load).alias("load"), F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _text(c).alias("v")) for c in columns])).alias("x")).select("load", "x.*")
     distinct = cells.where(F.col("v").isNotNull()).groupBy("load", "column_name", "v").agg(F.lit(1).alias("one")).groupBy("load", "column_name").agg(F.count("one").alias("distinct_count"))
-    same = lambda a, b: a["load"].eqNullSafe(b["load"]) & (a["column_name"] == b["column_name"])
-    out = base.join(distinct, same(base, distinct), "left").select(base["*"], F.coalesce(distinct["distinct_count"], F.lit(0)).alias("distinct_count"))
-    if found is not None:
-        bad = found.join(df.select(F.col(row_id).alias("row_id"), F.col(load).alias("load")), "row_id").groupBy("load", "column_name").agg(F.count(F.lit(1)).alias("n_bad"))
-        out = out.join(bad, same(out, bad), "left").select(out["*"], F.coalesce(bad["n_bad"], F.lit(0)).alias("n_violations"))
+    same = base["load"].eqNullSafe(distinct["load"]) & (base["column_name"] == distinct["column_name"])
+    out = base.join(distinct, same, "left").select(base["*"], F.coalesce(distinct["distinct_count"], F.lit(0)).alias("distinct_count"))
     return out.withColumn("null_rate", F.round(F.col("n_null") / F.col("n_rows"), 9))
 
 
+def with_drift(profiled: DataFrame, changes: DataFrame) -> DataFrame:
+    """The profile with what the classifier two-sample test says of each load against the one before.
+
+    ``load_auc``: how well the loads are told apart by all columns; ``drift_loss``: how much of that goes without the
+    column. Null for the first load, a null load and columns that are no features.
+    """
+    c = changes.where(F.col("column_name").isNotNull()).select(F.col("load_after").alias("_load"), F.col("column_name").alias("_column"), F.col("auc").alias("load_auc"), F.col("loss").alias("drift_loss"))
+    on = (profiled["load"].cast("long") == c["_load"]) & (profiled["column_name"] == c["_column"])
+    return profiled.join(F.broadcast(c), on, "left").drop("_load", "_column")  # loads times columns
+
+
 # ---------------------------------------------------------------- classifier two-sample test
 
-PER_COLUMN = 3
+#: Features of a column: null mark, signed magnitude, magnitude, its square, broken contract, and nearness by the hash of the value.
+PLAIN, PER_COLUMN = 5, 6
 BITS = 64
-BINS = 512
+BINS = 4096
 ROWS = 2048  # worked on at once
+#: Pairs of loads that one fit holds in memory, whatever the number of loads.
+PAIRS = 8
+#: Passes of the refit without a column.
+REFITS = 2
 
 
 def _featured(df: DataFrame, load: str, key: str, columns: list[str]) -> DataFrame:
-    """(load order value, fold, f, h): per column a null mark and a squashed magnitude in f, the value's 64-bit hash in h."""
+    """(load order value, fold, f, h): the plain features of every column in f, the value's 64-bit hash in h."""
     kinds = dict(df.dtypes)
     parts, hashes = [], []
     for c in columns:
-        numeric = kinds[c] in ("int", "bigint", "double", "float", "smallint", "tinyint", "boolean")
-        x = F.col(c).cast("double") if numeric else F.length(_text(c)).cast("double")
-        x = F.when(_number(x), F.signum(x) * F.log1p(F.abs(x))).otherwise(F.lit(0.0))
-        parts += [F.col(c).isNull().cast("double"), x]
+        x = _as_number(c, kinds[c]) if _is_number(kinds[c]) else F.length(_text(c)).cast("double")
+        size = F.when(_number(x), F.log1p(F.abs(x))).otherwise(F.lit(0.0))
+        broken = F.array_contains(BROKEN, c).cast("double") if BROKEN in df.columns else F.lit(0.0)
+        parts += [F.col(c).isNull().cast("double"), F.coalesce(F.signum(x), F.lit(0.0)) * size, size, size * size, broken]
         hashes.append(F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(c), _text(c))))
     return df.select(
         F.col(load).cast("long").alias("load"), F.pmod(F.xxhash64(F.col(key), F.lit("fold")), F.lit(2)).cast("int").alias("fold"),
@@ -133,11 +174,11 @@ def _featured(df: DataFrame, load: str, key: str, columns: list[str]) -> DataFra
 
 
 def _batches(it: Iterator[pa.RecordBatch], columns: int):
-    """(loads, folds, null marks and magnitudes [row, column, 2], bytes of the hashes [row, column, 8])."""
+    """(loads, folds, plain features [row, column, PLAIN], bytes of the hashes [row, column, 8])."""
     for whole in it:
         for i in range(0, whole.num_rows, ROWS):
             b = whole.slice(i, ROWS)
-            x = np.asarray(b.column("f").flatten(), float).reshape(b.num_rows, columns, 2)
+            x = np.asarray(b.column("f").flatten(), float).reshape(b.num_rows, columns, PLAIN)
             h = np.ascontiguousarray(np.asarray(b.column("h").flatten(), "<i8")).view(np.uint8).reshape(b.num_rows, columns, 8)
             yield np.asarray(b.column("load")), np.asarray(b.column("fold")), x, h
 
@@ -171,28 +212,42 @@ def _emit(acc: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"pair": pa.array([p], pa.int32()), "fold": pa.array([k], pa.int32()), "part": pa.array([part], pa.int32()), "v": pa.array([np.ravel(v).tobytes()])})
 
 
+DRIFT = "load_before long, load_after long, column_name string, auc double, auc_without double, loss double"
+
+
 def drift(df: DataFrame, load: str, key: str, columns: list[str], steps: int = 6, ridge: float = 1.0) -> DataFrame:
     """Changes between successive values of ``load``: (load_before, load_after, column_name, auc, auc_without, loss).
 
     ``column_name`` null is the whole model. Two folds by a hash of ``key``: each half is scored by the model fitted on
-    the other half. 0.5 means that the loads cannot be told apart. ``auc_without`` is that of the model refitted
-    without the column's features: the minimum, under that constraint, of the fitted model's quadratic expansion.
-    A column has three features: null mark, squashed magnitude (of text its length), and how much nearer the value is to
-    the later load's values than to the earlier's: the inner product of the 64 signs of its hash with the change of
-    their means between the loads. The means are of the fitting half, each of its rows left out of its own mean. Values
-    that differ share no feature unless all 64 bits agree, so a swap of two values of one length shows.
-    Fitting is Newton's method; one pass over the rows per step sums gradient and Hessian of all pairs and folds.
-    Rows with a null load are left out; with fewer than two loads the result is empty. Ties in score count half.
+    the other half. 0.5 means that the loads cannot be told apart. ``auc_without`` is that of the model refitted without
+    the column's features: begun at the minimum of the fitted model's quadratic expansion under that constraint, then
+    moved by the exact gradient over all rows.
+    A column has six features: null mark, squashed magnitude (of text its length) with its sign, without, and squared,
+    broken contract (where ``df`` has the marks of ``contracted``), and how much nearer the value is to the later load's
+    values than to the earlier's: the inner product of the 64 signs of its hash with the change of their means between the
+    loads. The means are of the fitting half, each of its rows left out of its own mean. Values that differ share no
+    feature unless all 64 bits agree, so a swap of two values of one length shows.
+    Fitting is Newton's method; one pass over the rows per step sums gradient and Hessian of PAIRS pairs of loads at
+    most, so that memory doesn't grow with the number of loads. Rows with a null load are left out; with fewer than two
+    loads the result is empty. Ties in score count half.
     """
     spark = df.sparkSession
-    schema = "load_before long, load_after long, column_name string, auc double, auc_without double, loss double"
     loads = [r[0] for r in df.where(F.col(load).isNotNull()).select(F.col(load).cast("long")).distinct().orderBy(load).collect()]
-    pairs = list(zip(loads, loads[1:]))
-    if not pairs:
-        return spark.createDataFrame([], schema)
+    if len(loads) < 2:
+        return spark.createDataFrame([], DRIFT)
     feats = materialize(_featured(df.where(F.col(load).isNotNull()), load, key, columns))  # each pass reads it again
+    out = []
+    for i in range(0, len(loads) - 1, PAIRS):
+        some = loads[i : i + PAIRS + 1]
+        out += _drift(feats.where(F.col("load").between(some[0], some[-1])) if len(some) < len(loads) else feats, some, columns, steps, ridge)
+    return spark.createDataFrame(out, DRIFT)
+
+
+def _drift(feats: DataFrame, loads: list[int], columns: list[str], steps: int, ridge: float) -> list[tuple]:
+    """Rows of ``drift`` for the successive pairs of ``loads``."""
+    pairs = list(zip(loads, loads[1:]))
     n_columns = len(columns)
-    width = 2 * n_columns
+    width = PLAIN * n_columns
     d = 1 + PER_COLUMN * n_columns
 
     def moments(it):
@@ -213,7 +268,7 @@ def drift(df: DataFrame, load: str, key: str, columns: list[str], steps: int = 6
     mean = m[1 : 1 + width] / m[0]
     sd = np.sqrt(np.maximum(m[1 + width : 1 + 2 * width] / m[0] - mean**2, 0))
     scale = np.where(sd > 1e-9, 1 / np.maximum(sd, 1e-9), 0)
-    mean, scale = mean.reshape(n_columns, 2), scale.reshape(n_columns, 2)
+    mean, scale = mean.reshape(n_columns, PLAIN), scale.reshape(n_columns, PLAIN)
     rows = np.array([[sums[i, k][0] if (i, k) in sums else 0 for k in (0, 1)] for i in range(len(loads))])
     signs = np.array([[sums[i, k][1 + 2 * width :].reshape(n_columns, BITS) / rows[i, k] if (i, k) in sums else np.zeros((n_columns, BITS)) for k in (0, 1)] for i in range(len(loads))])
     change = signs[1:] - signs[:-1]  # [pair, fold, column, bit]
@@ -234,8 +289,8 @@ def drift(df: DataFrame, load: str, key: str, columns: list[str], steps: int = 6
                 n = rows[p + i, f]
                 g[i] = np.where((after == i)[:, None], (n * g[i] - BITS * there) / (n - 1) if n > 1 else 0, g[i])
         z = np.empty((len(x), n_columns, PER_COLUMN))
-        z[:, :, :2] = (x - mean) * scale
-        z[:, :, 2] = (g[1] - g[0] - middle[p, f]) * unit[p, f]
+        z[:, :, :PLAIN] = (x - mean) * scale
+        z[:, :, PLAIN] = (g[1] - g[0] - middle[p, f]) * unit[p, f]
         return np.hstack([np.ones((len(x), 1)), np.clip(z, -5, 5).reshape(len(x), -1)])
 
     for _ in range(steps):
@@ -267,6 +322,33 @@ def drift(df: DataFrame, load: str, key: str, columns: list[str], steps: int = 6
             c = slice(1 + PER_COLUMN * j, 1 + PER_COLUMN * (j + 1))
             each.append(w[at] - inv[:, c] @ np.linalg.solve(inv[c, c], w[at][c]))
         models[at] = np.array(each)
+    keep = np.ones((n_columns + 1, d), bool)  # the coefficients that each model has
+    for j in range(n_columns):
+        keep[j + 1, 1 + PER_COLUMN * j : 1 + PER_COLUMN * (j + 1)] = False
+    for _ in range(REFITS):
+
+        def gradient(it):
+            acc: dict = {}
+            tables = _tables(signs)
+            for y, fold, x, h in _batches(it, n_columns):
+                for p, (a, b) in enumerate(pairs):
+                    for k in (0, 1):
+                        at = ((y == a) | (y == b)) & (fold != k)
+                        if at.any() and (p, k) in models:
+                            t = (y[at] == b).astype(float)
+                            z = design(x[at], h[at], t, p, (1 - k, True), tables)
+                            q = 1 / (1 + np.exp(-np.clip(z @ models[p, k].T, -30, 30)))
+                            acc[p, k] = acc.get((p, k), 0) + ((t[:, None] - q).T @ z).ravel()
+            yield from _emit(acc)
+
+        for at, g in _summed(feats, gradient).items():
+            g = g.reshape(-1, d) - ridge * models[at]
+            inv = np.linalg.inv(hess[at])
+            for j in range(n_columns):
+                c = ~keep[j + 1]
+                move = inv @ np.where(c, 0, g[j + 1])
+                models[at][j + 1] += move - inv[:, c] @ np.linalg.solve(inv[np.ix_(c, c)], move[c])  # within the constraint
+            models[at] = np.where(keep, models[at], 0)
 
     def scored(it):
         acc: dict = {}
@@ -297,7 +379,7 @@ def drift(df: DataFrame, load: str, key: str, columns: list[str], steps: int = 6
             name = columns[j - 1] if j else None
             loss = None if v is None or not j else means[0] - v
             out.append((a, b, name, means[0], v if j else None, loss))
-    return spark.createDataFrame(out, schema)
+    return out
 
 
 def contract_columns(schema: Mapping[str, str] | T.StructType) -> list[str]:

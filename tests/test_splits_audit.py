@@ -134,7 +134,7 @@ def test_profile_and_drift(frame):
     rows = [(i, 1 + i % 2, float(rng.normal(3 * (i % 2))), float(rng.normal()), None if i % 5 else "v") for i in range(600)]
     df = frame(rows, "row_id long, load_no int, moved double, still double, s string")
     p = {(r.load, r.column_name): r for r in P.profile(df, "load_no").collect()}
-    assert p[1, "s"].n_null == 240 and p[1, "s"].distinct_count == 1 and p[2, "moved"].distinct_count == 300 and p[1, "row_id"].min_value == "0"
+    assert p[1, "s"].n_null == 240 and p[1, "s"].distinct_count == 1 and p[2, "moved"].distinct_count == 300 and p[1, "row_id"].min_number == 0
     d = {r.column_name: r for r in P.drift(df, "load_no", "row_id", ["moved", "still"]).collect()}
     assert d[None].auc > 0.9 and d["moved"].loss > 0.3 and abs(d["still"].loss) < 0.05
     assert P.drift(df.where("load_no = 1"), "load_no", "row_id", ["moved"]).count() == 0
@@ -148,6 +148,27 @@ def test_drift_of_equally_long_values(frame):
     assert d[None].auc > 0.99 and d["dataset_version"].loss > 0.4 and abs(d["still"].loss) < 0.05 and abs(d["unique"].loss) < 0.05
 
 
+def test_drift_of_spread_and_against_refits(frame):
+    """Normal(0, 1) against normal(0, 4) has no change of the mean; the ablations equal separate fits without the column."""
+    rng = np.random.default_rng(3)
+    rows = [(i, 1 + i % 2, float(rng.normal(0, 1 + 3 * (i % 2))), float(rng.normal()), float(rng.normal(0.5 * (i % 2)))) for i in range(6000)]
+    df = frame(rows, "row_id long, load_no int, spread double, still double, moved double")
+    d = {r.column_name: r for r in P.drift(df, "load_no", "row_id", ["spread", "still", "moved"]).collect()}
+    assert d[None].auc > 0.8 and d["spread"].loss > 0.15 and abs(d["still"].loss) < 0.01
+    for c in ("spread", "still", "moved"):
+        alone = P.drift(df, "load_no", "row_id", [x for x in ("spread", "still", "moved") if x != c]).where("column_name IS NULL").first().auc
+        assert abs(d[c].auc_without - alone) < 0.005, c
+
+
+def test_drift_takes_many_loads_in_blocks(frame, monkeypatch):
+    rows = [(i, i % 7, float(i % 7 == 4) * 3 + (i * 37 % 11) / 11) for i in range(2100)]
+    df = frame(rows, "row_id long, load_no int, x double")
+    one = {(r.load_before, r.column_name): round(r.auc, 6) for r in P.drift(df, "load_no", "row_id", ["x"]).collect()}
+    monkeypatch.setattr(P, "PAIRS", 2)
+    two = {(r.load_before, r.column_name): round(r.auc, 2) for r in P.drift(df, "load_no", "row_id", ["x"]).collect()}
+    assert set(one) == set(two) and len(two) == 12 and two[3, None] > 0.95 and two[4, None] > 0.95 and two[0, None] < 0.7
+
+
 def test_profile_has_every_column(spark, frame, tmp_path):
     from cohortloom.plans.quality import p5_profile
 
@@ -158,5 +179,5 @@ def test_profile_has_every_column(spark, frame, tmp_path):
     frame([("x", 10, 100)], "audio_file string, sample_rate_hz int, frame_count long").write.parquet(f"{tmp_path}/audio_files.parquet")
     p = {(r.load, r.column_name): r for r in p5_profile(spark, str(tmp_path)).collect()}
     assert set(p) == {(load, c) for load in (1, 2) for c in m.columns}
-    assert (p[1, "row_id"].n_rows, p[1, "row_id"].distinct_count, p[1, "row_id"].max_value) == (3, 2, "2")
-    assert p[1, "recorded_at"].n_null == 1 and p[2, "recorded_at"].min_value == "2031-01-21 09:00:00" and p[1, "loaded_at"].distinct_count == 1 and p[2, "load_no"].max_value == "2"
+    assert (p[1, "row_id"].n_rows, p[1, "row_id"].distinct_count, p[1, "row_id"].max_number) == (3, 2, 2)
+    assert p[1, "recorded_at"].n_null == 1 and p[2, "recorded_at"].min_number == 1926752400 and p[1, "loaded_at"].distinct_count == 1 and p[2, "load_no"].max_number == 2
