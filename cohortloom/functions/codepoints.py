@@ -76,3 +76,24 @@ def is_han() -> np.ndarray:
     out = np.zeros(LIMIT, bool)
     out[0x3400:0x4DC0] = out[0x4E00:0xA000] = out[0x20000:0x32000] = True
     return out
+
+
+def expand(cps: np.ndarray, off: np.ndarray, size: np.ndarray, start: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Replace each code point by the ``size`` code points from ``start`` in ``flat``: gathers and offsets, no call per row."""
+    n = size[cps]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    inner = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+    return flat[np.repeat(start[cps], n) + inner], ends[off]
+
+
+@lru_cache(maxsize=None)
+def casefold_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, start, flat) of the full case folding of every code point."""
+    size, start = np.ones(LIMIT, np.int64), np.arange(LIMIT, dtype=np.int64)
+    more: list[int] = []
+    for i in np.flatnonzero(np.isin(categories().astype("S1"), [b"L", b"M", b"N", b"S"])):
+        f = chr(i).casefold()
+        if f != chr(i):
+            size[i], start[i] = len(f), LIMIT + len(more)
+            more += map(ord, f)
+    return size, start, np.concatenate([np.arange(LIMIT, dtype=np.uint32), np.array(more, np.uint32)])

@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -83,11 +84,12 @@ def readable_rows(texts: pa.Array) -> np.ndarray:
     bad |= (n["high"] > 0.6 * seen) & (seen >= 8)
     bad |= (n["letter"] < LEAST_LETTERS) & (n["end"] == 0)
     short = np.flatnonzero(~bad & (seen < 24))  # fillers and residues are short
-    for i in short:
-        s = "".join(map(chr, cps[off[i] : off[i + 1]])).strip().casefold()
-        s = s.strip("()（）[]【】<>《》{} ")
-        if s in FILLERS or s[:1] in ("=", "#") or (s.isascii() and not any(x in " ,.!?" for x in s)):
-            bad[i] = True
+    if len(short):
+        few = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        few = pc.utf8_trim(pc.utf8_lower(pc.utf8_trim_whitespace(few.take(pa.array(short)))), characters="()（）[]【】<>《》{} ")
+        residue = pc.or_(pc.starts_with(few, "="), pc.starts_with(few, "#"))
+        bare = pc.and_(pc.string_is_ascii(few), pc.invert(pc.match_substring_regex(few, "[ ,.!?]")))
+        bad[short] |= np.asarray(pc.or_(pc.or_(pc.is_in(few, value_set=pa.array(FILLERS, few.type)), residue), bare))
     return ~bad
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cohortloom.functions import codepoints as cp
+
 # The six invisible characters, the punctuation map, and the white space of the normalization contract.
 INVISIBLE = r"[\x{ad}\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}]"
 PUNCTUATION = {
@@ -26,12 +27,13 @@ _WIDE_TO = "".join(chr(i - 0xFEE0) for i in range(0xFF01, 0xFF5F)) + " "
 
 @F.arrow_udf(StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+    return pc.utf8_normalize(texts, form="NFC")
 
 
 @F.arrow_udf(StringType())
 def _casefold(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else t.lower() if t.isascii() else t.casefold() for t in texts.to_pylist()], pa.string())
+    cps, off, nulls = cp.explode(texts)
+    return cp.implode(*cp.expand(cps, off, *cp.casefold_table()), nulls).cast(pa.string())
 
 
 def nfc(c: Column) -> Column:
