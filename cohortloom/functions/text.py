@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from cohortloom.functions import codepoints as cp
+from cohortloom.functions import compose
 
 # The six invisible characters, the punctuation map, and the white space of the normalization contract.
 INVISIBLE = r"[\x{ad}\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}]"
@@ -27,7 +27,7 @@ _WIDE_TO = "".join(chr(i - 0xFEE0) for i in range(0xFF01, 0xFF5F)) + " "
 
 @F.arrow_udf(StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(texts, form="NFC")
+    return compose.nfc(texts)
 
 
 @F.arrow_udf(StringType())

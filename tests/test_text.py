@@ -61,3 +61,19 @@ def test_readable():
     assert readable_rows(pa.array(good)).all(), [g for g, r in zip(good, readable_rows(pa.array(good))) if not r]
     assert not readable_rows(pa.array([*bad, None])).any()
     assert np.array_equal(readable_rows(pa.array([], pa.string())), np.zeros(0, bool))
+
+
+def test_composition_and_case_folding_are_the_standard_ones():
+    import random
+    import unicodedata
+
+    from cohortloom.functions import codepoints as cp
+    from cohortloom.functions import compose
+
+    r = random.Random(1)
+    blocks = ((32, 127), (0xA0, 0x600), (0x900, 0xE00), (0x1100, 0x1200), (0x1E00, 0x2000), (0x300, 0x370), (0xAC00, 0xD7A4), (0xF900, 0xFB00))
+    texts = ["".join(chr(r.randrange(*r.choice(blocks))) for _ in range(20)) for _ in range(8000)] + [None, "", "A" * 5000]
+    a = pa.array(texts)
+    assert compose.nfc(a).to_pylist() == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    cps, off, nulls = cp.explode(a)
+    assert cp.implode(*cp.expand(cps, off, *cp.casefold_table()), nulls).to_pylist() == [None if t is None else t.casefold() for t in texts]
