@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from cohortloom.functions import codepoints as cp
+from cohortloom.functions import compose
 
 # Characters of other scripts or blocks with the shape of a Latin letter or a common Han character.
 SAME_SHAPE = {
@@ -76,7 +77,7 @@ def _form(c: str, depth: int = 0) -> str:
 
 @lru_cache(maxsize=None)
 def tables() -> dict[str, np.ndarray]:
-    """Expansion length and start of each code point in ``flat``; combining classes; sorted pairs that compose; what comparison drops."""
+    """Expansion length and start of each code point in ``flat``, and what comparison drops."""
     size, start, flat = np.ones(cp.LIMIT, np.int64), np.zeros(cp.LIMIT, np.int64), [np.arange(cp.LIMIT, dtype=np.uint32)]
     start[:] = np.arange(cp.LIMIT)
     at = cp.LIMIT
@@ -84,90 +85,24 @@ def tables() -> dict[str, np.ndarray]:
     plain = np.isin(category, [b"Cn", b"Co", b"Cs"])
     plain[0x3400:0x4DC0] = plain[0x4E00:0xA000] = plain[0xAC00:0xD7A4] = plain[0x20000:0x2F800] = True
     plain[list(INVISIBLE)] = False
-    ccc = np.zeros(cp.LIMIT, np.uint8)
-    pairs = []
     for i in np.flatnonzero(~plain):
         c = chr(i)
-        ccc[i] = unicodedata.combining(c)
         f = _form(c)
         if f != c:
             size[i], start[i] = len(f), at
             flat.append(np.array([ord(x) for x in f], np.uint32))
             at += len(f)
-        d = unicodedata.decomposition(c)
-        if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", c) == c:
-            a, b = (int(h, 16) for h in d.split())
-            pairs.append((a << 21 | b, i))
-    pairs.sort()
     major = category.astype("S1")
     dropped = np.isin(major, [b"P", b"Z"]) | np.isin(category, [b"Cc", b"Cf"])
-    return {"size": size, "start": start, "flat": np.concatenate(flat), "ccc": ccc, "pair": np.array([p for p, _ in pairs], np.int64), "made": np.array([m for _, m in pairs], np.uint32), "dropped": dropped}
-
-
-def _expand(cps: np.ndarray, off: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
-    size = t["size"][cps]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    inner = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-    return t["flat"][np.repeat(t["start"][cps], size) + inner], ends[off]
-
-
-def _keep(cps: np.ndarray, off: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return cps[keep], np.concatenate([[0], np.cumsum(keep)])[off]
-
-
-def _compose(cps: np.ndarray, off: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Canonical order of marks, then composition of each run of marks with its starter, mark by mark over all runs at once."""
-    ccc = t["ccc"][cps]
-    if ccc.any():
-        first = np.zeros(len(cps), bool)
-        first[off[:-1][off[:-1] < len(cps)]] = True
-        head = (ccc == 0) | first
-        run = np.cumsum(head) - 1
-        order = np.lexsort((np.arange(len(cps)), ccc, run))
-        cps, ccc = cps[order].copy(), ccc[order]
-        heads = np.flatnonzero(head)
-        length = np.diff(np.append(heads, len(cps)))
-        keep, last = np.ones(len(cps), bool), np.zeros(len(heads), np.uint8)
-        for j in range(1, int(length.max())):
-            r = np.flatnonzero(length > j)
-            m = heads[r] + j
-            key = cps[heads[r]].astype(np.int64) << 21 | cps[m]
-            k = np.minimum(np.searchsorted(t["pair"], key), len(t["pair"]) - 1)
-            joins = (t["pair"][k] == key) & ~((last[r] >= ccc[m]) & (last[r] > 0)) & (ccc[heads[r]] == 0)
-            cps[heads[r][joins]] = t["made"][k[joins]]
-            keep[m[joins]] = False
-            last[r[~joins]] = ccc[m[~joins]]
-        cps, off = _keep(cps, off, keep)
-    return _hangul(cps, off)
-
-
-def _hangul(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Conjoining letters to syllables, by the arithmetic of the standard: first and middle, then the final letter."""
-    if not ((cps >= 0x1100) & (cps < 0x1200)).any():
-        return cps, off
-    cps = cps.astype(np.int64)
-    for final in (False, True):
-        row = np.searchsorted(off, np.arange(len(cps)), "right")
-        nxt = np.append(cps[1:], 0)
-        near = np.append(row[1:] == row[:-1], False)
-        if final:
-            i = np.flatnonzero(near & (cps >= 0xAC00) & (cps < 0xD7A4) & ((cps - 0xAC00) % 28 == 0) & (nxt > 0x11A7) & (nxt < 0x11C3))
-            cps[i] += nxt[i] - 0x11A7
-        else:
-            i = np.flatnonzero(near & (cps >= 0x1100) & (cps < 0x1113) & (nxt >= 0x1161) & (nxt < 0x1176))
-            cps[i] = 0xAC00 + ((cps[i] - 0x1100) * 21 + nxt[i] - 0x1161) * 28
-        keep = np.ones(len(cps), bool)
-        keep[i + 1] = False
-        cps, off = _keep(cps, off, keep)
-    return cps.astype(np.uint32), off
+    return {"size": size, "start": start, "flat": np.concatenate(flat), "dropped": dropped}
 
 
 def fold_codepoints(texts: pa.Array, compare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t = tables()
     cps, off, nulls = cp.explode(texts)
-    cps, off = _compose(*_expand(cps, off, t), t)
+    cps, off = compose.compose(*cp.expand(cps, off, t["size"], t["start"], t["flat"]))
     if compare:
-        cps, off = _keep(cps, off, ~t["dropped"][cps])
+        cps, off = compose.keep(cps, off, ~t["dropped"][cps])
     return cps, off, nulls
 
 
