@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 
 import numpy as np
+import zstandard
 
 SAMPLE = 8
 
@@ -89,11 +90,11 @@ class FmIndex:
     def save(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, alphabet=self.alphabet, text=self.text, starts=self.starts, words=np.array([b.words for b in self.levels]), counts=np.array([b.counts for b in self.levels]), zeros=self.zeros, shift=self.shift, mw=self.marks.words, mc=self.marks.counts, samples=self.samples, n=self.n)
-        return out.getvalue()
+        return zstandard.compress(out.getvalue())
 
     @staticmethod
     def load(data: bytes) -> FmIndex:
-        z = np.load(io.BytesIO(data))
+        z = np.load(io.BytesIO(zstandard.decompress(data)))
         return FmIndex(z["alphabet"], z["text"], z["starts"], [Bits(w, c) for w, c in zip(z["words"], z["counts"])], z["zeros"].tolist(), z["shift"], Bits(z["mw"], z["mc"]), z["samples"], int(z["n"]))
 
     def symbols(self, cps: np.ndarray) -> np.ndarray:

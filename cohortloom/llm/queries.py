@@ -17,15 +17,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """The overlaps as pairs of distinct forms with merged match length, number of spans and edits."""
+    """Each overlapping evaluation form with its number of links, and edits, merged match length and spans of the nearest training form."""
     return overlap.overlaps(table(spark, d, "trial_manifest"))[1]
 
 
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    """The overlapping evaluation records with the form that p1_overlaps describes."""
+    m = table(spark, d, "trial_manifest")
+    return overlap.members(m, "record_id", *overlap.overlaps(m))
+
+
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping rows per split, dataset_version, paradigm and book_id."""
     m = table(spark, d, "trial_manifest")
-    texts, pairs = overlap.overlaps(m)
-    return overlap.report(m, pairs, texts, ["dataset_version", "paradigm", "book_id"])
+    texts, links = overlap.overlaps(m)
+    return overlap.report(m, links, texts, ["dataset_version", "paradigm", "book_id"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +153,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return known.groupBy("source", "lang", "level").agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.avg("grade"), 4).alias("mean_grade"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report, "p2_found": p2_found, "p2_torn": p2_torn, "p2_assign": p2_assign, "p2_subjects": p2_subjects, "p3_found": p3_found, "p3_forms": p3_forms, "p4_sample": p4_sample, "p4_rows": p4_rows, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_fit": p8_fit, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
+QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_members": p1_members, "p1_report": p1_report, "p2_found": p2_found, "p2_torn": p2_torn, "p2_assign": p2_assign, "p2_subjects": p2_subjects, "p3_found": p3_found, "p3_forms": p3_forms, "p4_sample": p4_sample, "p4_rows": p4_rows, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_fit": p8_fit, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
 
 _FAMILY = """
 WITH RECURSIVE l AS (SELECT lower(trim(left_group_id)) a, lower(trim(right_group_id)) b FROM group_links WHERE review_status = 'accepted'),

@@ -68,7 +68,7 @@ def _lev(a, b):
     return p[-1]
 
 
-def test_near_pairs_against_all_pairs(frame, monkeypatch):
+def test_near_links_against_all_pairs(frame, monkeypatch):
     monkeypatch.setattr(overlap, "SHARD_CHARS", 300)  # several shards and blocks
     monkeypatch.setattr(overlap, "STEP_HITS", 50)
     rng = random.Random(8)
@@ -83,10 +83,32 @@ def test_near_pairs_against_all_pairs(frame, monkeypatch):
                 t[i : i + (k > 0)] = [] if k == 1 else [rng.choice("山水风雨人木石田")]
             forms.add("".join(t) or "山")
     rows = [(f, i % 3 != 0, i % 2 == 0) for i, f in enumerate(sorted(forms))]
-    got = {(r.eval_form, r.train_form): r.edits for r in overlap.near_pairs(frame(rows, "form string, train boolean, held boolean")).collect()}
-    want = {(a, b): d for a, _, h in rows if h for b, t, _ in rows if t and 10 * (d := _lev(a, b)) <= max(len(a), len(b))}
-    assert got == want and len(got) > 40
-    assert overlap.near_pairs(frame([], "form string, train boolean, held boolean")).count() == 0
+    got = {r.eval_form: (r.n_links, r.edits, r.train_form) for r in overlap.near_links(frame(rows, "form string, train boolean, held boolean")).collect()}
+    want = {}
+    for a, _, h in rows:
+        near = [(d, b) for b, t, _ in rows if h and t and 10 * (d := _lev(a, b)) <= max(len(a), len(b))]
+        if near:
+            want[a] = (len(near), *min(near))
+    assert got == want and sum(x[0] for x in got.values()) > 40
+    assert overlap.near_links(frame([], "form string, train boolean, held boolean")).count() == 0
+
+
+def test_many_links_are_one_row_a_form(frame):
+    rng = random.Random(4)
+    stem = "".join(rng.choice("山水风雨人木石田") for _ in range(60))
+    rows = [(stem[:i] + "门窗" + stem[i:] + chr(0x5000 + j) + chr(0x5000 + i), j % 2 == 0, j % 2 == 1) for i in range(20) for j in range(20)]
+    got = overlap.near_links(frame(rows, "form string, train boolean, held boolean")).collect()
+    assert len(got) == 200 and sum(r.n_links for r in got) == 40_000
+
+
+def test_banded_distances():
+    rng = np.random.default_rng(5)
+    a = [rng.integers(1, 4, rng.integers(0, 30)) for _ in range(300)]
+    b = [np.delete(x, rng.integers(0, max(1, len(x)), rng.integers(0, 3)) % max(1, len(x))) if i % 2 and len(x) else rng.integers(1, 4, len(x) + rng.integers(0, 3)) for i, x in enumerate(a)]
+    off = lambda x: np.append(0, np.cumsum([len(y) for y in x]))
+    k = rng.integers(0, 6, 300)
+    got = overlap.distances(np.concatenate(a), off(a)[:-1], np.diff(off(a)), np.concatenate(b), off(b)[:-1], np.diff(off(b)), k.copy())
+    assert got.tolist() == [min(int(e) + 1, _lev(x.tolist(), y.tolist())) for x, y, e in zip(a, b, k)]
 
 
 def test_overlapping_records(frame):
@@ -94,6 +116,6 @@ def test_overlapping_records(frame):
     rows = [("t", s, "Train "), ("v", s.replace("钟", "镜"), "validation"), ("w", s.replace(",", ""), "TEST"), ("x", u, "test"), ("n", None, "test"), ("m", None, "train"), ("q", "N/A", "train"), ("r", "N/A", "valid"), ("y", u, None), ("v", s, "valid")]
     df = frame(rows, "record_id string, raw_text string, split string").selectExpr("*", "'clash' AS form", "'clash' AS text")
     assert {r.record_id for r in overlap.overlapping(df, "record_id").collect()} == {"v", "w"}
-    texts, pairs = overlap.overlaps(df)
-    rep = {r.clean_split: (r.n_rows, r.n_overlap, r.n_exact) for r in overlap.report(df, pairs, texts, []).collect()}
+    texts, links = overlap.overlaps(df)
+    rep = {r.clean_split: (r.n_rows, r.n_overlap, r.n_exact) for r in overlap.report(df, links, texts, []).collect()}
     assert rep == {"valid": (3, 2, 1), "test": (3, 1, 1)}
