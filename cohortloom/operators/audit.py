@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from cohortloom.operators import quantiles
+from cohortloom.operators.joins import null_safe_join
 
 # Fixed values of the record contract.
 REQUIRED = ("dataset_version", "paradigm", "subject_id", "session_id", "book_id", "sentence_id", "eeg_file", "event_source", "alignment_source", "quality_flag", "split_group_id", "split", "record_id", "run_id", "block_id")
@@ -29,9 +32,9 @@ def group_counts(df: DataFrame, fields: list[str]) -> DataFrame:
 def distribution(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Count, exact interpolated quantiles, range and mean of the finite numbers; NaN, infinities and null are left out."""
     v = F.when(F.abs(value) <= 1e300, F.col(value))
-    q = F.percentile(v, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    x = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"), F.avg(v).alias("mean"))
-    return x.select(*by, "n", "min", *[F.round(F.col("_q")[i], 9).alias(n) for i, n in enumerate(("p05", "median", "p95"))], "max", F.round("mean", 9).alias("mean"))
+    base = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"))
+    q = quantiles.quantiles(df.select(*by, v.alias("_x")), by, "_x", {"p05": 0.05, "median": 0.5, "p95": 0.95}).drop("n")
+    return null_safe_join(base, q, by, "left").select(*by, "n", "min", *[F.round(n, 9).alias(n) for n in ("p05", "median", "p95")], "max", F.round("mean", 9).alias("mean"))
 
 
 def violations(df: DataFrame) -> Column:
@@ -51,12 +54,26 @@ def violations(df: DataFrame) -> Column:
     return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()]))
 
 
-def ordered_digest(df: DataFrame, key: str, fields: list[str], buckets: int = 2) -> DataFrame:
+#: Rows that one digest bucket should hold.
+BUCKET_ROWS = 100_000
+
+
+def bucket_digits(n: int) -> int:
+    """Hex digits that spread ``n`` rows into buckets of about BUCKET_ROWS, two at least."""
+    digits = 2
+    while n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def ordered_digest(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(digest, n): a digest of all rows in key order that is built in two levels, so that no task holds all rows.
 
     Fields are joined by 0x1F and rows by 0x0A, null as empty; rows fall into buckets by the first hex digits of their
-    key's hash, each bucket is digested in order of key and line, and the digests are digested in bucket order.
+    key's hash, as many as keep a bucket small, each bucket is digested in order of key and line, and the digests are
+    digested in bucket order. ``stream_digest`` gives the plain digest of the rows in order.
     """
+    buckets = bucket_digits(df.count())
     line = F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     rows = df.select(F.substring(F.sha2(k.cast("binary"), 256), 1, buckets).alias("b"), k.alias("k"), F.sha2(line.cast("binary"), 256).alias("h"))
@@ -117,14 +134,23 @@ def pearson(x: str, y: str) -> Column:
     return F.when((n >= 3) & (F.min(u) < F.max(u)) & (F.min(v) < F.max(v)), r)
 
 
-def p95_exclusive(values: Column) -> Column:
-    """The 19th of 20 exclusive quantiles of an array of values; needs two values, else null."""
-    x = F.array_sort(values)
-    n = F.size(x)
-    j = F.greatest(F.lit(1), F.least(n - 1, F.floor(F.lit(19) * (n + 1) / 20).cast("int")))
-    delta = F.lit(19) * (n + 1) - F.lit(20) * j
-    return F.when(n >= 2, (F.element_at(x, j) * (F.lit(20) - delta) + F.element_at(x, j + 1) * delta) / 20.0)
-
+def stream_digest(df: DataFrame, key: str, fields: list[str]) -> str:
+    """The SHA-256 of the rows in key order, fields joined by 0x1F and each row ended by 0x0A, null as empty.
 
-def per_group_rank(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    A plain digest is of one stream by its nature: the sort is distributed, and lines then pass through the driver one
+    partition at a time. For comparing with digests made elsewhere; equal keys are ordered by their line.
+    """
+    line = F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).alias("line")
+    total = hashlib.sha256()
+    for r in df.select(F.col(key).alias("k"), line).orderBy("k", "line").select("line").toLocalIterator(prefetchPartitions=True):
+        total.update(r.line.encode() + b"\n")
+    return total.hexdigest()
+
+
+def twins(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One row: whether two copies of a table, such as Parquet and CSV, have as many rows, the same keys and the same digest of ``fields``."""
+    x, y = ordered_digest(a, key, fields), ordered_digest(b, key, fields)
+    kx, ky = ordered_digest(a, key, [key]), ordered_digest(b, key, [key])
+    named = lambda d, n: d.select(F.col("digest").alias(f"d{n}"), F.col("n").alias(f"n{n}"))
+    one = named(x, 1).join(named(y, 2)).join(named(kx, 3)).join(named(ky, 4))  # one row each
+    return one.select((F.col("n1") == F.col("n2")).alias("same_count"), F.col("d3").eqNullSafe(F.col("d4")).alias("same_keys"), F.col("d1").eqNullSafe(F.col("d2")).alias("same_rows"))

@@ -20,3 +20,12 @@ def spread_join(many: DataFrame, one: DataFrame, on: Sequence[str], by: Sequence
     salted = many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
     repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def null_safe_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns in which nulls are equal; the columns of ``a`` stay, those of ``b`` but the keys are added. Without keys ``b`` has one row."""
+    if not on:
+        return a.join(F.broadcast(b), how="left")
+    other = b.select(*[F.col(n).alias(f"_on_{n}") for n in on], *[c for c in b.columns if c not in on])
+    same = [F.col(n).eqNullSafe(F.col(f"_on_{n}")) for n in on]
+    return a.join(other, same, how).drop(*[f"_on_{n}" for n in on])

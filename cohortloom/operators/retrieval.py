@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.operators import quantiles
+from cohortloom.operators.joins import null_safe_join
+
 EPS = 1e-8
 BLOCK = 4096
 
@@ -115,7 +118,9 @@ def ranks(parts: DataFrame) -> DataFrame:
 def metrics(df: DataFrame, rank: str, by: Sequence[str] = (), ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """R@k, median rank and mean reciprocal rank."""
     r = F.col(rank)
-    return df.groupBy(*by).agg(F.count(r).alias("n"), *[F.round(F.avg((r <= k).cast("double")), 9).alias(f"r_at_{k}") for k in ks], F.round(F.percentile(r, 0.5), 9).alias("median_rank"), F.round(F.avg(1 / r), 9).alias("mrr"))
+    base = df.groupBy(*by).agg(F.count(r).alias("n"), *[F.round(F.avg((r <= k).cast("double")), 9).alias(f"r_at_{k}") for k in ks], F.round(F.avg(1 / r), 9).alias("mrr"))
+    median = quantiles.quantiles(df, by, rank, {"median_rank": 0.5}).drop("n")
+    return null_safe_join(base, median, list(by), "left").select(*by, "n", *[f"r_at_{k}" for k in ks], F.round("median_rank", 9).alias("median_rank"), "mrr")
 
 
 def macro(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions import text as X
 from cohortloom.operators import audit as A
 from cohortloom.operators import intervals as I
+from cohortloom.operators import quantiles as Q
 from cohortloom.store import table
 
 
@@ -214,20 +215,24 @@ def pearson_guarded(s, d):
 def duration_validation(s, d):
     """Per recording: correlation and median absolute residual of actual against expected durations, and the verdict."""
     x = _joined(s, d).withColumn("res", F.abs(F.col("actual") - F.col("expected")))
-    g = x.groupBy("eeg_file").agg(F.count(F.lit(1)).alias("n"), F.round(A.pearson("actual", "expected"), 6).alias("r"), F.round(F.percentile("res", 0.5), 6).alias("median_residual"))
+    g = x.groupBy("eeg_file").agg(F.count(F.lit(1)).alias("n"), F.round(A.pearson("actual", "expected"), 6).alias("r"))
+    m = Q.quantiles(x, ["eeg_file"], "res", {"m": 0.5}).select("eeg_file", F.round("m", 6).alias("median_residual"))
+    g = g.join(m, "eeg_file", "left")
     return g.withColumn("valid", F.when(F.col("n") < 3, F.col("median_residual") <= 0.75).otherwise(F.coalesce(F.col("r") >= 0.9, F.lit(False))))
 
 
 def p95_exclusive(s, d):
     x = _joined(s, d).withColumn("res", F.abs(F.col("actual") - F.col("expected")))
-    return x.where("res IS NOT NULL").groupBy("eeg_file").agg(F.round(A.p95_exclusive(F.collect_list("res")), 6).alias("p95"))
+    return Q.p95_exclusive(x, ["eeg_file"], "res").select("eeg_file", F.round("p95", 6).alias("p95"))
 
 
 def span_validation(s, d):
     """Per audio file: trials, correlation of audio and EEG durations, exclusive p95 of their difference, and the verdict."""
     num = lambda c: F.when(F.abs(c) <= 1e300, F.col(c))
     x = _t(s, d).where("audio_file IS NOT NULL").select("audio_file", F.col("eeg_duration_sec").alias("a"), (num("audio_end_sec") - num("audio_start_sec")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").withColumn("res", F.abs(F.col("a") - F.col("b")))
-    g = x.groupBy("audio_file").agg(F.count(F.lit(1)).alias("n"), F.round(A.pearson("a", "b"), 6).alias("r"), F.round(A.p95_exclusive(F.collect_list("res")), 6).alias("p95"))
+    g = x.groupBy("audio_file").agg(F.count(F.lit(1)).alias("n"), F.round(A.pearson("a", "b"), 6).alias("r"))
+    p = Q.p95_exclusive(x, ["audio_file"], "res").select("audio_file", F.round("p95", 6).alias("p95"))
+    g = g.join(p, "audio_file", "left")
     return g.withColumn("valid", F.coalesce((F.col("r") >= 0.99) & (F.col("p95") <= 0.08), F.lit(False)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "text", "intervals", "splits", "audit", "retrieval", "align")
+MODULES = ("quality", "text", "intervals", "splits", "audit", "manifest", "retrieval", "align")
 
 
 def queries() -> dict:
