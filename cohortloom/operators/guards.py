@@ -63,26 +63,6 @@ def delay_label(milliseconds: Column) -> Column:
     return F.when(whole == milliseconds, F.format_string("%03dms", whole.cast("long"))).otherwise(F.concat(F.replace(milliseconds.cast("string"), F.lit("."), F.lit("_")), F.lit("ms")))
 
 
-def layer_mean(layers: Column, selected: list[int]) -> Column:
-    """Element-wise mean of the selected layers of an array of arrays; a negative index counts from the end."""
-    at = [F.element_at(layers, i + 1 if i >= 0 else i) for i in selected]
-    total = at[0]
-    for x in at[1:]:
-        total = F.zip_with(total, x, lambda a, b: a + b)
-    return F.transform(total, lambda v: v / F.lit(float(len(selected))))
-
-
-def centred(a: Column) -> Column:
-    """Values minus their mean."""
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
-    return F.element_at(F.transform(F.array(mean), lambda m: F.transform(a, lambda x: x.cast("double") - m)), 1)
-
-
-def time_pool(matrix: Column) -> Column:
-    """Mean over time of each channel of an array of channels."""
-    return F.transform(matrix, lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(c))
-
-
 def symmetric_loss(scores: DataFrame, query: str, candidate: str, score: str, positive: Column) -> DataFrame:
     """Mean of both directions' cross entropy of the positives over a long table of scores of fixed batches."""
     top = lambda k: F.max(score).over(Window.partitionBy(k))

@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def floor_quantile(values: Column, q: float) -> Column:
-    """The value at index int(q * n) of the sorted array."""
-    return F.element_at(F.array_sort(values), (F.floor(F.size(values) * q) + 1).cast("int"))
-
-
 def robust_fit(train: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median and interquartile range by floor index per group of training rows; a range of 0 becomes 1.
 
@@ -48,7 +43,7 @@ def zscore(a: Column) -> Column:
     Mean and deviation are bound once, as lambda variables of one-element arrays; inside the element lambda they would
     be computed again for every element.
     """
-    n = F.size(a)
+    n = F.nullif(F.size(a), F.lit(0))
     mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
     centred = F.element_at(F.transform(F.array(mean), lambda m: F.transform(a, lambda x: x.cast("double") - m)), 1)
     sd = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x) / n)
@@ -95,5 +90,58 @@ def envelope(a: Column, width: int) -> Column:
     """Square, box filter of full width with zero edges, square root."""
     size = F.size(a)
     back = (width - 1) // 2  # the centred part of the full convolution
-    total = lambda i: F.aggregate(F.slice(a, F.greatest(F.lit(1), i - (width - 1 - back) + 1), F.least(size, i + back + 1) - F.greatest(F.lit(1), i - (width - 1 - back) + 1) + 1), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.sqrt(total(i) / width)))
+    # running sums of squares, bound once: each point is a difference of two, whatever the width
+    empty = F.array(F.lit(0.0))
+    sums = F.aggregate(a, empty, lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x.cast("double") * x.cast("double"))))
+    at = lambda s, i: F.element_at(s, i + 1)
+    total = lambda s, i: at(s, F.least(size, i + back + 1)) - at(s, F.greatest(F.lit(0), i - (width - 1 - back)))
+    points = F.transform(F.array(sums), lambda s: F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.sqrt(F.greatest(F.lit(0.0), total(s, i)) / width)))
+    return F.when(size > 0, F.element_at(points, 1))
+
+
+def standardize(a: Column) -> Column:
+    """Values minus their mean, divided by the population deviation where that is above 1e-8."""
+    n = F.nullif(F.size(a), F.lit(0))
+    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
+    centred = F.element_at(F.transform(F.array(mean), lambda m: F.transform(a, lambda x: x.cast("double") - m)), 1)
+    both = F.transform(F.array(centred), lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x) / n).alias("d")))
+    return F.element_at(F.transform(both, lambda e: F.transform(e["c"], lambda x: F.when(e["d"] > 1e-8, x / e["d"]).otherwise(x))), 1)
+
+
+def centred(a: Column) -> Column:
+    """Values minus their mean."""
+    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.nullif(F.size(a), F.lit(0))
+    return F.element_at(F.transform(F.array(mean), lambda m: F.transform(a, lambda x: x.cast("double") - m)), 1)
+
+
+def time_pool(matrix: Column) -> Column:
+    """Mean over time of each channel of an array of channels."""
+    return F.transform(matrix, lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.nullif(F.size(c), F.lit(0)))
+
+
+def layer_mean(layers: Column, selected: list[int]) -> Column:
+    """Element-wise mean of the selected layers of an array of arrays; a negative index counts from the end."""
+    at = [F.element_at(layers, i + 1 if i >= 0 else i) for i in selected]
+    total = at[0]
+    for x in at[1:]:
+        total = F.zip_with(total, x, lambda a, b: a + b)
+    return F.transform(total, lambda v: v / F.lit(float(len(selected))))
+
+
+def overlap_mean(spans: DataFrame, frames: DataFrame, key: str, cell: float, strict: bool = False) -> DataFrame:
+    """(key, span, n, vector): mean, dimension by dimension, of the frames of the same key that overlap each span.
+
+    ``spans``: key, span (its id), a, z; ``frames``: key, start, stop, vector. A frame overlaps if it starts before ``z`` and stops
+    after ``a``. A span without a frame is left out, or raises if ``strict``. Spans and frames meet in cells of ``cell``; a
+    pair counts in the first cell that both are in. Characters and tokens are spans and frames of unit steps.
+    """
+    first = lambda c: F.floor(F.col(c) / cell)
+    a = spans.select(key, "span", "a", "z").withColumn("_cell", F.explode(F.sequence(first("a"), first("z"))))
+    b = frames.select(key, "start", "stop", "vector").withColumn("_cell", F.explode(F.sequence(first("start"), first("stop"))))
+    x = a.join(b, [key, "_cell"]).where((F.col("start") < F.col("z")) & (F.col("stop") > F.col("a")) & (F.col("_cell") == F.greatest(first("a"), first("start"))))
+    if strict:
+        bare = spans.select(key, "span").join(x.select(key, "span"), [key, "span"], "left_anti").orderBy(key, "span").first()
+        if bare:
+            raise ValueError(f"no frame overlaps span {bare['span']} of {bare[key]}")
+    per = x.select(key, "span", F.posexplode("vector").alias("_d", "_v")).groupBy(key, "span", "_d").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_v").cast("double")).alias("_m"))
+    return per.groupBy(key, "span").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_d", "_m"))), lambda e: e["_m"]).alias("vector"))  # as many as dimensions

@@ -161,12 +161,15 @@ def incremental_index(s, d):
 
 
 def fallback_join(s, d):
-    """Audio of a sentence: of its own speaker if there is any, else of any speaker."""
-    spans = _t(s, d).where("audio_file IS NOT NULL AND global_text_id IS NOT NULL")
-    exact = spans.where("speaker_id IS NOT NULL").groupBy("speaker_id", "global_text_id").agg(F.min("audio_file").alias("exact_file"))
-    other = spans.groupBy("global_text_id").agg(F.min("audio_file").alias("any_file"))
-    x = _t(s, d).select("row_id", "speaker_id", "global_text_id").join(exact, ["speaker_id", "global_text_id"], "left").join(other, "global_text_id", "left")
-    return x.select("row_id", F.coalesce("exact_file", "any_file").alias("audio"), F.when(F.col("exact_file").isNotNull(), "exact").when(F.col("any_file").isNotNull(), "fallback").alias("method"))
+    """Audio of a sentence: that of its speaker in the same run if there is any, else of its speaker in any run."""
+    from cohortloom.operators.manifest import with_audio
+
+    t = _t(s, d)
+    spans = t.where("audio_file IS NOT NULL AND global_text_id IS NOT NULL AND speaker_id IS NOT NULL AND run_id IS NOT NULL")
+    nothing = F.lit(None).cast("double")
+    span = lambda run: spans.select("speaker_id", run.alias("run_id"), "global_text_id", "audio_file", nothing.alias("start_sec"), nothing.alias("end_sec")).distinct()
+    x = with_audio(t.select("row_id", "speaker_id", "run_id", "global_text_id"), span(F.col("run_id")).unionByName(span(F.lit(None).cast("string"))))
+    return x.select("row_id", F.col("audio_file").alias("audio"), F.col("audio_match").alias("method"))
 
 
 def partition_lookup(s, d):
@@ -288,7 +291,7 @@ SELECT 'group_text_conflict', lower(trim(split_group_id)) AS id, count(DISTINCT
     "invariant_check": "WITH x AS (SELECT dataset_version, paradigm, unnest([" + ", ".join(f"{{'name': '{c}', 'n': count(DISTINCT {c})}}" for c in _INV) + "]) AS x FROM trial_manifest GROUP BY 1, 2) SELECT dataset_version, paradigm, x.name AS name, x.n AS n, x.n = 1 AS holds FROM x",
     "dataset_checks": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER ({c}) AS n FROM pl_windows" for n, c in _CHECKS),
     "incremental_index": "WITH t AS (SELECT record_id, load_no FROM trial_manifest WHERE audio_file IS NOT NULL), k AS (SELECT max(load_no) AS k FROM t) SELECT DISTINCT record_id FROM t, k WHERE load_no = k AND record_id NOT IN (SELECT record_id FROM t, k WHERE load_no < k)",
-    "fallback_join": "WITH s AS (SELECT * FROM trial_manifest WHERE audio_file IS NOT NULL AND global_text_id IS NOT NULL), e AS (SELECT speaker_id, global_text_id, min(audio_file) AS exact_file FROM s WHERE speaker_id IS NOT NULL GROUP BY 1, 2), o AS (SELECT global_text_id, min(audio_file) AS any_file FROM s GROUP BY 1) SELECT row_id, coalesce(exact_file, any_file) AS audio, CASE WHEN exact_file IS NOT NULL THEN 'exact' WHEN any_file IS NOT NULL THEN 'fallback' END AS method FROM trial_manifest LEFT JOIN e USING (speaker_id, global_text_id) LEFT JOIN o USING (global_text_id)",
+    "fallback_join": "WITH s AS (SELECT * FROM trial_manifest WHERE audio_file IS NOT NULL AND global_text_id IS NOT NULL AND speaker_id IS NOT NULL AND run_id IS NOT NULL), e AS (SELECT speaker_id, run_id, global_text_id, min(audio_file) AS exact_file FROM s GROUP BY 1, 2, 3), o AS (SELECT speaker_id, global_text_id, min(audio_file) AS any_file FROM s GROUP BY 1, 2) SELECT row_id, coalesce(exact_file, any_file) AS audio, CASE WHEN exact_file IS NOT NULL THEN 'exact' WHEN any_file IS NOT NULL THEN 'fallback' END AS method FROM trial_manifest LEFT JOIN e USING (speaker_id, run_id, global_text_id) LEFT JOIN o USING (speaker_id, global_text_id)",
     "partition_lookup": f"WITH t AS (SELECT record_id, min({_CLEAN}) AS trial_split, count(DISTINCT {_CLEAN}) AS n FROM trial_manifest GROUP BY 1), w AS (SELECT DISTINCT window_id, record_id, {_CLEAN} AS window_split FROM pl_windows) SELECT window_id, window_split, trial_split, CASE WHEN trial_split IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN trial_split = window_split THEN 'ok' ELSE 'differs' END AS status FROM w LEFT JOIN t USING (record_id)",
     "global_id_resolve": "WITH u AS (SELECT sentence_id, min(global_text_id) AS g FROM material_units GROUP BY 1) SELECT row_id, coalesce(g, global_text_id, 'global-text-v1-' || substr(sha256(sentence_id), 1, 24)) AS global_id, CASE WHEN g IS NOT NULL THEN 'unit' WHEN global_text_id IS NOT NULL THEN 'trial' ELSE 'generated' END AS origin FROM trial_manifest LEFT JOIN u USING (sentence_id)",
     "alignment_override": "WITH l AS (SELECT lower(trim(left_group_id)) a, lower(trim(right_group_id)) b FROM group_links WHERE review_status = 'accepted'), o AS (SELECT a, min(b) AS b FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) GROUP BY 1), g AS (SELECT DISTINCT lower(trim(split_group_id)) AS a FROM trial_manifest) SELECT a AS group_id, least(a, b) AS resolved, b IS NOT NULL AS overridden FROM g LEFT JOIN o USING (a)",

@@ -7,9 +7,15 @@ from pyspark.sql.window import Window
 
 from cohortloom.operators import retrieval as R
 from cohortloom.operators import series as V
+from cohortloom.operators.guards import delay_label
+from cohortloom.operators.joins import null_safe_join
 from cohortloom.store import table
 
-REQUIRED = ("random", "exact", "membership", "correlation", "position", "duration", "length")
+# The baselines that a report must have.
+REQUIRED = ("random", "duration_only", "character_count_only", "padding_mask_only", "sentence_position_only", "subject_id_only", "audio_envelope")
+#: Baselines that score equality of a window's own value with the candidate's.
+EXACT = {"duration_only": "window_sec", "padding_mask_only": "padded_eeg_samples", "character_count_only": "char_count", "subject_id_only": "speaker_id"}
+MOST_QUERIES, MOST_TARGETS = 64, 32
 
 
 def _e(s, d):
@@ -86,8 +92,7 @@ def retrieval_position_local(s, d):
 def length_matched_pool(s, d):
     """Targets within one character and half a second of each query target: sizes of the pools.
 
-    A target without a duration, on either side, matches at any duration. The SQL of this name leaves such targets out,
-    so the two are equal only where every target has a duration.
+    A target without a duration, on either side, matches at any duration.
     """
     t = table(s, d, "pl_windows").where("char_count IS NOT NULL").groupBy("split_group_id").agg(F.min("char_count").cast("double").alias("chars"), F.min("source_trial_eeg_duration_sec").alias("sec"))
     # records with equal lengths meet as one: pools are counted per distinct (characters, duration)
@@ -101,8 +106,7 @@ def length_matched_pool(s, d):
 def contrastive_loss(s, d, block=R.BLOCK):
     """Mean of -log softmax of each query's positive among all candidates, scores of x normed by y over temperature 0.07.
 
-    A query whose positive is missing counts in ``n`` but not in the mean. The SQL of this name still keeps to
-    candidates that agree with the query in id modulo 50, so it gives another figure.
+    A query whose positive is missing counts in ``n`` but not in the mean.
     """
     q, c = _queries(s, d)
     own = q.join(c.select(F.col("candidate_id").alias("positive"), F.col("vector").alias("cv")), "positive", "left").select("query_id", (R.similarity(F.col("vector"), F.col("cv"), "y") / 0.07).alias("own"))
@@ -139,9 +143,43 @@ def shortcut_membership(s, d):
     return R.metrics(w.join(sets, "stimulus_position"), "rank")
 
 
+def _first_windows(s, d):
+    """(windows, candidates) of the test split: every window, and of every target its first window."""
+    w = table(s, d, "pl_windows").where("lower(trim(split)) = 'test' AND audio_target_id IS NOT NULL AND window_id IS NOT NULL")
+    w = w.select("window_id", "audio_target_id", "stimulus_position", *EXACT.values()).distinct()
+    return w, w.groupBy("audio_target_id").agg(*[F.min_by(c, "window_id").alias(c) for c in EXACT.values()])
+
+
+def shortcut_report(s, d):
+    """Global metrics of the baselines that see nothing but a window's metadata, with ties ranked last.
+
+    A candidate whose value equals the window's (or whose positions hold the window's) scores 1, else 0. So where the window's
+    own target scores 1 its rank is how many do, and where it scores 0 how many candidates there are: no pair is formed.
+    """
+    w, c = _first_windows(s, d)
+    n = F.broadcast(c.agg(F.count(F.lit(1)).alias("n")))  # one row
+    text = lambda x: F.col(x).cast("string")
+    queries = w.select("window_id", "audio_target_id", F.explode(F.array(*[F.struct(F.lit(k).alias("baseline"), text(v).alias("v")) for k, v in EXACT.items()])).alias("x")).select("window_id", "audio_target_id", "x.*")
+    values = c.select("audio_target_id", F.explode(F.array(*[F.struct(F.lit(k).alias("baseline"), text(v).alias("c")) for k, v in EXACT.items()])).alias("x")).select("audio_target_id", "x.*")
+    level = values.groupBy("baseline", F.col("c").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    own = queries.join(values, ["audio_target_id", "baseline"])
+    exact = null_safe_join(own, level, ["baseline", "v"], "left").join(n).select("baseline", F.when(F.col("v").eqNullSafe(F.col("c")), F.col("k")).otherwise(F.col("n")).alias("rank"))
+    sets = w.select("audio_target_id", "stimulus_position").distinct().groupBy("stimulus_position").agg(F.count(F.lit(1)).alias("rank"))
+    member = null_safe_join(w.select("window_id", "stimulus_position"), sets, ["stimulus_position"]).select(F.lit("sentence_position_only").alias("baseline"), "rank")
+    return R.metrics(exact.unionByName(member), "rank", ["baseline"])
+
+
 def required_baselines(s, d):
-    have = s.createDataFrame([("random",), ("exact",), ("membership",), ("correlation",)], "name string")
-    return R.required_missing(have, REQUIRED)
+    """Baselines that a report must have but that neither shortcut_report nor the queries of random scores and envelopes give."""
+    have = shortcut_report(s, d).select("baseline").unionByName(s.createDataFrame([("random",), ("audio_envelope",)], "baseline string"))
+    return R.required_missing(have.withColumnRenamed("baseline", "name"), REQUIRED)
+
+
+def limited_queries(s, d):
+    """The first queries and the first targets in order of their ids, as a run with limits takes them."""
+    w = table(s, d, "pl_windows").where("window_id IS NOT NULL AND audio_target_id IS NOT NULL")
+    q = w.select(F.lit("query").alias("kind"), F.col("window_id").alias("id")).distinct().orderBy("id").limit(MOST_QUERIES)
+    return q.unionByName(w.select(F.lit("target").alias("kind"), F.col("audio_target_id").alias("id")).distinct().orderBy("id").limit(MOST_TARGETS))
 
 
 def argmin_select(s, d):
@@ -222,10 +260,12 @@ def frame_offsets(s, d):
 
 
 def overlap_pool(s, d):
-    """Mean of the middles of the frames that overlap the second second of each window."""
-    w = table(s, d, "pl_windows").groupBy("window_id").agg(F.min("audio_start_sec").alias("a"))
-    x = _frames(s, d).join(w, "window_id").where((F.col("start_sec") < F.col("a") + 2) & (F.col("stop_sec") > F.col("a") + 1))
-    return x.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("start_sec") + F.col("stop_sec")) / 2), 6).alias("middle"))
+    """Mean, in two dimensions, of the frames that overlap the second second of each window; windows without one are left out."""
+    w = table(s, d, "pl_windows").where("audio_start_sec IS NOT NULL").groupBy("window_id").agg(F.min("audio_start_sec").alias("o"))
+    spans = w.select("window_id", F.lit(0).alias("span"), (F.col("o") + 1).alias("a"), (F.col("o") + 2).alias("z"))
+    frames = _frames(s, d).select("window_id", F.col("start_sec").alias("start"), F.col("stop_sec").alias("stop"), F.array((F.col("start_sec") + F.col("stop_sec")) / 2, F.col("frame").cast("double")).alias("vector"))
+    x = V.overlap_mean(spans, frames, "window_id", 4.0)
+    return x.select("window_id", "n", *[F.round(F.element_at("vector", i + 1), 6).alias(k) for i, k in enumerate(("middle", "frame"))])
 
 
 def token_pool(s, d):
@@ -236,12 +276,16 @@ def token_pool(s, d):
 
 
 def char_token_overlap(s, d):
-    """Characters of workbook rows under tokens of three characters: each lit character's token and the token's lit share."""
-    from cohortloom.functions.text import UNLIT
+    """State of every character of the workbook rows: the mean of the tokens that overlap it, tokens of three characters at every second one, with their place and lit length as their vector."""
+    from cohortloom.functions.text import lit_count
 
-    u = table(s, d, "material_units").where("normalized_text <> ''")
-    c = u.select("unit_id", F.posexplode(F.split("normalized_text", "")).alias("p", "ch")).where("ch <> ''").withColumn("token", F.floor(F.col("p") / 3)).withColumn("lit", ~F.col("ch").rlike(UNLIT))
-    return c.groupBy("unit_id", "token").agg(F.count_if("lit").alias("n_lit"), F.count(F.lit(1)).alias("n")).where("n_lit > 0")
+    u = table(s, d, "material_units").where("normalized_text <> ''").select("unit_id", "normalized_text", F.length("normalized_text").alias("n"))
+    last = F.floor((F.col("n") - 1) / 2).cast("int")
+    t = u.select("unit_id", "normalized_text", "n", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    frames = t.select("unit_id", (F.col("k") * 2).alias("start"), F.least(F.col("k") * 2 + 3, "n").alias("stop"), F.array(F.col("k").cast("double"), lit_count(F.substr("normalized_text", F.col("k") * 2 + 1, F.lit(3))).cast("double")).alias("vector"))
+    spans = u.select("unit_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("span")).select("unit_id", "span", F.col("span").alias("a"), (F.col("span") + 1).alias("z"))
+    x = V.overlap_mean(spans, frames, "unit_id", 64.0)
+    return x.select("unit_id", F.col("span").alias("position"), "n", *[F.round(F.element_at("vector", i + 1), 6).alias(k) for i, k in enumerate(("token", "lit"))])
 
 
 def field_power(s, d):
@@ -251,13 +295,36 @@ def field_power(s, d):
 
 
 def interp_series(s, d):
+    """Ten points of every vector by centres, by end points, and the latter standardized."""
     a = F.transform("embedding", lambda x: x.cast("double"))
-    rounded = lambda c: F.transform(c, lambda x: F.round(x, 5))
-    return _e(s, d).select("vec_id", rounded(V.interpolate(a, 10)).alias("centred"), rounded(V.interpolate(a, 10, True)).alias("cornered"))
+    three = F.arrays_zip(V.interpolate(a, 10).alias("centred"), V.interpolate(a, 10, True).alias("cornered"), V.standardize(V.interpolate(a, 10, True)).alias("scaled"))
+    x = _e(s, d).where("embedding IS NOT NULL").select("vec_id", F.posexplode(three).alias("point", "x"))
+    return x.select("vec_id", "point", *[F.round(F.col("x")[c], 5).alias(c) for c in ("centred", "cornered", "scaled")])
 
 
 def envelope(s, d):
-    return _e(s, d).select("vec_id", F.transform(V.envelope(F.col("embedding"), 5), lambda x: F.round(x, 5)).alias("envelope"))
+    x = _e(s, d).where("embedding IS NOT NULL").select("vec_id", F.posexplode(V.envelope(F.col("embedding"), 5)).alias("point", "v"))
+    return x.select("vec_id", "point", F.round("v", 5).alias("envelope"))
+
+
+def pooled_scores(s, d):
+    """Centred and pooled vectors scaled by 1 / 0.07: each vector is taken as four channels of sixteen steps, and scored against the next one."""
+    four = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("c", k * 16 + 1, F.lit(16)))
+    x = _e(s, d).where("embedding IS NOT NULL").select("vec_id", V.centred(F.col("embedding")).alias("c")).select("vec_id", V.time_pool(four).alias("p"))
+    y = x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
+    return x.join(y, "vec_id").select("vec_id", F.round(R.dot(F.col("p"), F.col("q")) / 0.07, 5).alias("score"))
+
+
+def layer_means(s, d):
+    """Mean of the first and the last of four layers of every vector, per unit."""
+    four = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.slice("embedding", k * 16 + 1, F.lit(16)), lambda v: v.cast("double")))
+    x = _e(s, d).where("embedding IS NOT NULL").select("vec_id", F.posexplode(V.layer_mean(four, [0, -1])).alias("unit", "v"))
+    return x.select("vec_id", "unit", F.round("v", 6).alias("mean"))
+
+
+def delay_labels(s, d):
+    """Windows per label of their delay."""
+    return table(s, d, "pl_windows").groupBy(delay_label(F.col("eeg_delay_ms")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
@@ -281,13 +348,27 @@ SQL = {
     "metrics_macro": f"WITH {_Y}, m AS (SELECT label, {_MP} FROM k GROUP BY 1) SELECT count(*) AS groups, " + ", ".join(f"round(avg({c}), 9) AS {c}_mean, round(coalesce(stddev_samp({c}), 0), 9) AS {c}_std" for c in ("r_at_1", "r_at_5", "r_at_10", "median_rank", "mrr")) + " FROM m",
     "chance_metrics": "WITH n AS (SELECT range AS n FROM range(1, 501)) SELECT n, round(1.0::DOUBLE / n, 9) AS r_at_1, round(least(5, n) / n, 9) AS r_at_5, round(least(10, n) / n, 9) AS r_at_10, round((n + 1) / 2, 9) AS median_rank, round(list_sum(list_transform(range(1, n + 1), lambda i: 1.0::DOUBLE / i)) / n, 9) AS mrr FROM n",
     "retrieval_position_local": f"WITH {_Q}, r AS (SELECT query_id, positive, candidate_id, round(list_dot_product(qe, ce) / cw, 9) AS s, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN candidate_id = positive THEN 0 ELSE 1 END, abs(query_id - candidate_id), candidate_id) AS k FROM q, c), o AS (SELECT *, max(CASE WHEN candidate_id = positive THEN s END) OVER (PARTITION BY query_id) AS p FROM r WHERE k <= 20) SELECT query_id, count(*) AS pool, count(*) FILTER (s >= p) AS rank FROM o GROUP BY 1",
-    "length_matched_pool": "WITH t AS (SELECT split_group_id, min(char_count) AS chars, min(source_trial_eeg_duration_sec) AS sec FROM pl_windows WHERE char_count IS NOT NULL AND source_trial_eeg_duration_sec IS NOT NULL GROUP BY 1) SELECT a.split_group_id, count(*) AS pool, count(*) >= 20 AS enough FROM t a JOIN t b ON abs(a.chars - b.chars) <= 1 AND abs(a.sec - b.sec) <= 0.5 GROUP BY 1",
-    "contrastive_loss": f"WITH {_Q}, s AS (SELECT query_id, positive, candidate_id, list_dot_product(qe, ce) / cw / 0.07::DOUBLE AS s FROM q JOIN c ON query_id % 50 = (candidate_id - 1) % 50), m AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS m FROM s), g AS (SELECT query_id, max(m) + ln(sum(exp(s - m))) AS lse, max(CASE WHEN candidate_id = positive THEN s END) AS own FROM m GROUP BY 1) SELECT count(*) AS n, round(avg(lse - own), 6) AS loss FROM g",
+    "length_matched_pool": "WITH t AS (SELECT split_group_id, min(char_count) AS chars, min(source_trial_eeg_duration_sec) AS sec FROM pl_windows WHERE char_count IS NOT NULL GROUP BY 1) SELECT a.split_group_id, count(*) AS pool, count(*) >= 20 AS enough FROM t a JOIN t b ON abs(a.chars - b.chars) <= 1 AND coalesce(abs(a.sec - b.sec) <= 0.5, true) GROUP BY 1",
+    "contrastive_loss": f"WITH {_Q}, s AS (SELECT query_id, positive, candidate_id, list_dot_product(qe, ce) / cw / 0.07::DOUBLE AS s FROM q, c), m AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS m FROM s), g AS (SELECT query_id, max(m) + ln(sum(exp(s - m))) AS lse, max(CASE WHEN candidate_id = positive THEN s END) AS own FROM m GROUP BY 1) SELECT count(*) AS n, round(avg(lse - own), 6) AS loss FROM g",
     "shortcut_random": f"WITH {_Q}, h AS (SELECT query_id, positive, candidate_id, substr(sha256('42' || chr(0) || query_id || chr(0) || candidate_id), 1, 12) AS h FROM q, c), p AS (SELECT query_id, h AS p FROM h WHERE candidate_id = positive) SELECT query_id, count(*) FILTER (h >= p) AS rank FROM h JOIN p USING (query_id) GROUP BY 1",
     "shortcut_correlation": f"WITH {_XY} SELECT {_MP} FROM k",
     "shortcut_exact": f"WITH t AS (SELECT DISTINCT audio_target_id, stimulus_position, speaker_id FROM pl_windows), n AS (SELECT stimulus_position, count(DISTINCT audio_target_id) AS rank FROM t GROUP BY 1) SELECT {_MR} FROM t JOIN n ON t.stimulus_position IS NOT DISTINCT FROM n.stimulus_position",
     "shortcut_membership": f"WITH w AS (SELECT DISTINCT window_id, split_group_id, stimulus_position FROM pl_windows), n AS (SELECT stimulus_position, count(DISTINCT split_group_id) AS rank FROM w GROUP BY 1) SELECT {_MR} FROM w JOIN n USING (stimulus_position)",
-    "required_baselines": "SELECT name FROM (VALUES ('position'), ('duration'), ('length')) t(name)",
+    "required_baselines": "SELECT unnest([" + ", ".join(f"'{x}'" for x in REQUIRED) + "]) AS name EXCEPT SELECT unnest([" + ", ".join(f"'{x}'" for x in (*EXACT, "sentence_position_only", "random", "audio_envelope")) + "])",
+    "shortcut_report": "WITH w AS (SELECT DISTINCT window_id, audio_target_id, stimulus_position, window_sec, padded_eeg_samples, char_count, speaker_id FROM pl_windows WHERE lower(trim(split)) = 'test' AND audio_target_id IS NOT NULL AND window_id IS NOT NULL), "
+    "c AS (SELECT audio_target_id, " + ", ".join(f"arg_min_null({v}, window_id) AS {v}" for v in EXACT.values()) + " FROM w GROUP BY 1), n AS (SELECT count(*) AS n FROM c), r AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS baseline, CASE WHEN w.{v} IS NOT DISTINCT FROM c.{v} THEN (SELECT count(*) FROM c z WHERE z.{v} IS NOT DISTINCT FROM w.{v}) ELSE n END AS rank FROM w JOIN c USING (audio_target_id), n" for k, v in EXACT.items())
+    + " UNION ALL SELECT 'sentence_position_only', (SELECT count(DISTINCT audio_target_id) FROM w z WHERE z.stimulus_position IS NOT DISTINCT FROM w.stimulus_position) FROM w) SELECT baseline, " + _MR + " FROM r GROUP BY 1",
+    "limited_queries": f"(SELECT DISTINCT 'query' AS kind, window_id AS id FROM pl_windows WHERE window_id IS NOT NULL AND audio_target_id IS NOT NULL ORDER BY id LIMIT {MOST_QUERIES}) UNION ALL (SELECT DISTINCT 'target' AS kind, audio_target_id AS id FROM pl_windows WHERE window_id IS NOT NULL AND audio_target_id IS NOT NULL ORDER BY id LIMIT {MOST_TARGETS})",
+    "delay_labels": "SELECT CASE WHEN floor(eeg_delay_ms) = eeg_delay_ms THEN lpad(eeg_delay_ms::BIGINT::VARCHAR, 3, '0') ELSE replace(eeg_delay_ms::VARCHAR, '.', '_') END || 'ms' AS label, count(*) AS n FROM pl_windows GROUP BY 1",
+    "layer_means": "WITH x AS (SELECT vec_id, unnest(range(16))::INTEGER AS unit, embedding AS e FROM embeddings WHERE embedding IS NOT NULL) SELECT vec_id, unit, round((e[unit + 1]::DOUBLE + e[unit + 49]::DOUBLE) / 2, 6) AS mean FROM x",
+    "pooled_scores": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x : x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL), c AS (SELECT vec_id, e, list_sum(e) / len(e) AS m FROM v), p AS (SELECT vec_id, list_transform(range(4), lambda k : list_sum(list_transform(e[k * 16 + 1 : k * 16 + 16], lambda x : x - m)) / 16) AS p FROM c) SELECT a.vec_id, round(list_dot_product(a.p, b.p) / 0.07::DOUBLE, 5) AS score FROM p a JOIN p b ON b.vec_id = a.vec_id + 1",
+    "interp_series": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x : x::DOUBLE) AS e, len(embedding) AS n FROM embeddings WHERE embedding IS NOT NULL), x AS (SELECT vec_id, e, n, unnest(range(10))::INTEGER AS point FROM v), "
+    "y AS (SELECT *, greatest(0.0::DOUBLE, (point + 0.5::DOUBLE) * n / 10.0::DOUBLE - 0.5::DOUBLE) AS p, point * (n - 1) / 9.0::DOUBLE AS q FROM x), "
+    "z AS (SELECT vec_id, point, e[least(floor(p)::INT, n - 1) + 1] * (1 - (p - least(floor(p)::INT, n - 1))) + e[least(least(floor(p)::INT, n - 1) + 1, n - 1) + 1] * (p - least(floor(p)::INT, n - 1)) AS a, "
+    "e[least(floor(q)::INT, n - 1) + 1] * (1 - (q - least(floor(q)::INT, n - 1))) + e[least(least(floor(q)::INT, n - 1) + 1, n - 1) + 1] * (q - least(floor(q)::INT, n - 1)) AS b FROM y) "
+    "SELECT vec_id, point, round(a, 5) AS centred, round(b, 5) AS cornered, round(CASE WHEN stddev_pop(b) OVER w > 1e-8 THEN (b - avg(b) OVER w) / stddev_pop(b) OVER w ELSE b - avg(b) OVER w END, 5) AS scaled FROM z WINDOW w AS (PARTITION BY vec_id)",
+    "envelope": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x : x::DOUBLE) AS e, len(embedding)::INTEGER AS n FROM embeddings WHERE embedding IS NOT NULL), x AS (SELECT vec_id, e, n, unnest(range(n))::INTEGER AS point FROM v) SELECT vec_id, point, round(sqrt(list_sum(list_transform(e[greatest(1, point - 1) : least(n, point + 3)], lambda x : x * x)) / 5), 5) AS envelope FROM x",
     "argmin_select": "WITH w AS (SELECT session_id, eeg_delay_ms, round(avg(abs(audio_stop_sec - audio_start_sec - 3)), 9) AS loss FROM pl_windows GROUP BY 1, 2) SELECT session_id, loss, eeg_delay_ms FROM w QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY loss, eeg_delay_ms) = 1",
     "entity_index": "SELECT subject_group_id, (row_number() OVER (ORDER BY subject_group_id) - 1)::INTEGER AS i FROM (SELECT DISTINCT subject_group_id FROM pl_windows)",
     "unique_target_batches": "WITH w AS (SELECT DISTINCT window_id, audio_target_id, sha256('42' || chr(0) || window_id) AS h FROM pl_windows), r AS (SELECT *, row_number() OVER (PARTITION BY audio_target_id ORDER BY h) - 1 AS round FROM w) SELECT window_id, round::INTEGER AS round, (row_number() OVER (PARTITION BY round ORDER BY h) - 1) // 32 AS batch FROM r",
@@ -299,9 +380,9 @@ SQL = {
     "crop_align": f"WITH v AS (SELECT vec_id, embedding[5:64] AS a, embedding[1:60] AS b FROM embeddings) SELECT vec_id, len(a)::INTEGER AS n_query, len(b)::INTEGER AS n_target, round({_DOT.format(a='a', b='b')}, 5) AS lag_product FROM v",
     "conv_geometry": "SELECT 320::BIGINT AS stride, 400::BIGINT AS field",
     "frame_offsets": f"WITH {_FR} SELECT window_id, frame, round(start_sec, 6) AS start_sec, round(stop_sec, 6) AS stop_sec FROM fr",
-    "overlap_pool": f"WITH {_FR}, o AS (SELECT window_id, min(audio_start_sec) AS o FROM pl_windows GROUP BY 1) SELECT window_id, count(*) AS n, round(avg((start_sec + stop_sec) / 2), 6) AS middle FROM fr JOIN o USING (window_id) WHERE start_sec < o + 2 AND stop_sec > o + 1 GROUP BY 1",
+    "overlap_pool": f"WITH {_FR}, o AS (SELECT window_id, min(audio_start_sec) AS o FROM pl_windows WHERE audio_start_sec IS NOT NULL GROUP BY 1) SELECT window_id, count(*) AS n, round(avg((start_sec + stop_sec) / 2), 6) AS middle, round(avg(frame), 6) AS frame FROM fr JOIN o USING (window_id) WHERE start_sec < o + 2 AND stop_sec > o + 1 GROUP BY 1",
     "token_pool": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT vec_id, round(e[1], 5) AS first, round(list_avg(e), 5) AS attended, round(list_avg(e[2:63]), 5) AS content FROM v",
-    "char_token_overlap": "WITH c AS (SELECT unit_id, normalized_text t, unnest(range(length(normalized_text))) AS p FROM material_units WHERE normalized_text <> '') SELECT unit_id, p // 3 AS token, count(*) FILTER (NOT regexp_matches(substr(t, p + 1, 1), '[\\p{P}\\p{Z}\\p{C}]')) AS n_lit, count(*) AS n FROM c GROUP BY 1, 2 HAVING n_lit > 0",
+    "char_token_overlap": "WITH u AS (SELECT unit_id, normalized_text AS t, length(normalized_text) AS n FROM material_units WHERE normalized_text <> ''), c AS (SELECT unit_id, unnest(range(n)) AS position FROM u), k AS (SELECT unit_id, t, n, unnest(range((n - 1) // 2 + 1)) AS k FROM u), f AS (SELECT unit_id, k, k * 2 AS a, least(k * 2 + 3, n) AS z, length(regexp_replace(substr(t, k * 2 + 1, 3), '[\\p{P}\\p{Z}\\p{C}]', '', 'g')) AS lit FROM k) SELECT unit_id, position::INTEGER AS position, count(*) AS n, round(avg(k), 6) AS token, round(avg(lit), 6) AS lit FROM c JOIN f USING (unit_id) WHERE a < position + 1 AND z > position GROUP BY 1, 2",
     "field_power": f"WITH {_Z}, p AS (SELECT label, unnest(z) AS z, unnest(range(64))::INTEGER AS t FROM z) SELECT label, t, round(sqrt(avg(z * z)), 5) AS power FROM p GROUP BY 1, 2",
 }
-QUERIES = {k: globals()[k] for k in SQL} | {"interp_series": interp_series, "envelope": envelope}
+QUERIES = {k: globals()[k] for k in SQL}

@@ -17,7 +17,7 @@ def test_names_are_in_order():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["pair_events", "asof_join", "sync_windows_overlap", "protocol_cross_domain", "quota_split", "record_violations", "ordered_digest", "rank_policies", "span_validation"])
+@pytest.mark.parametrize("name", sorted(catalog.sql()))
 def test_query_equals_sql(spark, name):
     import duckdb
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import guards as G
+from cohortloom.operators import series as V
 
 
 def test_configs_and_artifacts(tmp_path, spark):
@@ -21,7 +22,7 @@ def test_configs_and_artifacts(tmp_path, spark):
 
 def test_small_shapes(frame):
     r = frame([([[1.0, 2.0], [3.0, 4.0], [5.0, 8.0]], 200.0, 12.5)], "m array<array<double>>, d double, e double").select(
-        G.layer_mean(F.col("m"), [0, -1]).alias("l"), G.time_pool(F.col("m")).alias("p"), G.centred(F.element_at("m", 2)).alias("c"), G.delay_label(F.col("d")).alias("d"), G.delay_label(F.col("e")).alias("e"),
+        V.layer_mean(F.col("m"), [0, -1]).alias("l"), V.time_pool(F.col("m")).alias("p"), V.centred(F.element_at("m", 2)).alias("c"), G.delay_label(F.col("d")).alias("d"), G.delay_label(F.col("e")).alias("e"),
     ).first()
     assert (r.l, r.p, r.c, r.d, r.e) == ([3.0, 5.0], [1.5, 3.5, 6.5], [-0.5, 0.5], "200ms", "12_5ms")
 
