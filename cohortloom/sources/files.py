@@ -7,11 +7,13 @@ read. A file that cannot be parsed gives a row whose ``error`` says why, never a
 from __future__ import annotations
 
 import configparser
+import csv
+import hashlib
 import io
 import re
 import struct
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
@@ -57,6 +59,43 @@ def read_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return text.mapInPandas(parse, EVENTS + ", file STRING, ord INT")
 
 
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Comma-separated text of exactly these columns, in this order, perhaps after a byte-order mark; all values are strings, empty is null.
+
+    Another header raises; a row with more or fewer fields than the header makes the read fail.
+    """
+    first = spark.read.text(path).limit(1).first()
+    head = [] if first is None else next(csv.reader([first[0].removeprefix("\ufeff")]))
+    if head != list(columns):
+        raise ValueError(f"the header must be {list(columns)}, not {head}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").option("mode", "FAILFAST").option("escape", '"').option("multiLine", "true").csv(path)
+
+
+def open_random(path: str):
+    """A file that can be read at any place, through the file system that its address names; a bare path is local."""
+    from pyarrow import fs
+
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(inner)
+
+
+class Handles:
+    """The files that one task reads, a bounded number of them open at once."""
+
+    def __init__(self, most: int = 64):
+        self.most, self.open = most, {}
+
+    def __call__(self, path: str):
+        if path not in self.open:
+            if len(self.open) >= self.most:
+                self.open.pop(next(iter(self.open))).close()
+            self.open[path] = open_random(path)
+        return self.open[path]
+
+
 def _whole(spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
     try:
         return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
@@ -77,16 +116,31 @@ def discover(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def xlsx_cells(content: bytes) -> list[tuple[int, int, str | None]]:
-    """(row, column, value) of the first sheet: shared, inline and formula text, booleans, integral numbers without a fraction."""
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def sheet_parts(book: zipfile.ZipFile) -> list[str]:
+    """Names of the sheets' parts in the order of the workbook, by its relationships; without a workbook part, by the numbers in the names."""
+    names = set(book.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        target = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        found = [target.get(x.get(_REL + "id"), "") for x in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(_NS + "sheet")]
+        return [str(PurePosixPath(t.removeprefix("/")) if t.startswith("/") else PurePosixPath("xl") / t) for t in found]
+    return sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+
+def xlsx_cells(content: bytes, sheet_index: int = 0) -> list[tuple[int, int, str | None]]:
+    """(row, column, value) of one sheet: shared, inline and formula text, booleans, integral numbers without a fraction."""
     book = zipfile.ZipFile(io.BytesIO(content))
     shared: list[str] = []
     if "xl/sharedStrings.xml" in book.namelist():
         for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")):
             shared.append("".join(t.text or "" for t in item.iter(_NS + "t")))
-    sheets = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    sheets = sheet_parts(book)
+    if not 0 <= sheet_index < len(sheets):
+        raise ValueError(f"no sheet {sheet_index} among {len(sheets)}")
     out = []
-    for cell in ElementTree.fromstring(book.read(sheets[0])).iter(_NS + "c"):
+    for cell in ElementTree.fromstring(book.read(sheets[sheet_index])).iter(_NS + "c"):
         ref = re.fullmatch(r"([A-Z]+)([0-9]+)", cell.get("r", ""))
         if not ref:
             raise ValueError(f"bad cell reference {cell.get('r')!r}")
@@ -126,9 +180,9 @@ def _parsed(df: DataFrame, parse: Callable[[str, bytes], list[tuple]], schema: s
     return df.select("path", "content").mapInPandas(run, f"path STRING, {schema}, error STRING")
 
 
-def read_xlsx(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, row, column, value, error) of the first sheet of each workbook, original row numbers kept."""
-    return _parsed(_whole(spark, paths), lambda _, b: xlsx_cells(b), "row INT, column INT, value STRING")
+def read_xlsx(spark: SparkSession, paths: str | list[str], sheet_index: int = 0) -> DataFrame:
+    """(path, row, column, value, error) of one sheet of each workbook, original row numbers kept."""
+    return _parsed(_whole(spark, paths), lambda _, b: xlsx_cells(b, sheet_index), "row INT, column INT, value STRING")
 
 
 def text_units(cells: DataFrame) -> DataFrame:
@@ -172,45 +226,58 @@ def read_headers(spark: SparkSession, paths: str | list[str], sizes: DataFrame |
     return x.withColumn("broken_reference", F.col("_la").isNull()).withColumn("n_times", F.expr("coalesce(_la, _lb) div (channels * width)")).withColumn("remainder", n % frame).drop("_a", "_la", "_b", "_lb")
 
 
-def wav_fields(path: str, content: bytes) -> list[tuple]:
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+def wav_layout(file, size: int) -> dict[str, int]:
+    """Rate, channels, bits, place of the samples and number of frames of a PCM file, from its chunk headers alone."""
+    file.seek(0)
+    head = file.read(12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("no RIFF/WAVE file")
-    at, rate, channels, bits, frames = 12, None, None, None, None
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack("<I", content[at + 4 : at + 8])[0]
+    at, out = 12, {}
+    while at + 8 <= size and "frames" not in out:
+        file.seek(at)
+        name, length = struct.unpack("<4sI", file.read(8))
         if name == b"fmt ":
-            _, channels, rate, _, _, bits = struct.unpack("<HHIIHH", content[at + 8 : at + 24])
-        elif name == b"data":
-            frames = min(size, len(content) - at - 8) // max(1, channels * bits // 8)
-        at += 8 + size + size % 2
-    if None in (rate, frames):
+            _, channels, rate, _, _, bits = struct.unpack("<HHIIHH", file.read(16))
+            out |= {"channels": channels, "rate": rate, "bits": bits}
+        elif name == b"data" and "rate" in out:
+            out |= {"start": at + 8, "frames": min(length, size - at - 8) // max(1, out["channels"] * out["bits"] // 8)}
+        at += 8 + length + length % 2
+    if "frames" not in out:
         raise ValueError("fmt or data chunk missing")
-    return [(int(frames), int(rate), int(channels), int(bits), frames / rate)]
+    return out
 
 
 def read_wav_info(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, frames, rate, channels, bits, seconds, error) of PCM audio files."""
-    return _parsed(_whole(spark, paths), wav_fields, "frames BIGINT, rate INT, channels INT, bits INT, seconds DOUBLE")
+    """(path, frames, rate, channels, bits, seconds, error) of PCM audio files; only their headers are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length")
+    schema = "path STRING, frames BIGINT, rate INT, channels INT, bits INT, seconds DOUBLE, error STRING"
 
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for path, size in zip(pdf["path"], pdf["length"]):
+                try:
+                    with open_random(path) as f:
+                        w = wav_layout(f, size)
+                    rows.append((path, w["frames"], w["rate"], w["channels"], w["bits"], w["frames"] / w["rate"], None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype(object).where(lambda x: x.notna(), None)
 
-def read_signal_segments(segments: DataFrame, channels: int, dtype: str = "<f4") -> DataFrame:
-    """Adds ``values`` (time-major, channel-interleaved) of [start, stop) of each row's ``path``; rows of a partition share open files.
+    return files.mapInPandas(run, schema)
 
-    The path must be readable by executors. Bounds outside the file give a null and ``error``.
-    """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema.fields) + ", values ARRAY<FLOAT>, error STRING"
+
+def _segments(segments: DataFrame, read: Callable[[Handles, dict], np.ndarray], columns: str = "values ARRAY<FLOAT>") -> DataFrame:
+    """Adds ``values`` and ``error`` to rows that name a path and bounds; rows of a partition share open files."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema.fields) + f", {columns}, error STRING"
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_files: dict[str, np.memmap] = {}
+        files = Handles()
         for pdf in it:
             values, errors = [], []
-            for path, a, b in zip(pdf["path"], pdf["start"], pdf["stop"]):
+            for row in pdf.to_dict("records"):
                 try:
-                    if path not in open_files:
-                        open_files[path] = np.memmap(path.removeprefix("file:"), dtype, "r").reshape(-1, channels)
-                    if not 0 <= a < b <= len(open_files[path]):
-                        raise ValueError(f"[{a}, {b}) outside 0..{len(open_files[path])}")
-                    values.append(open_files[path][a:b].astype(np.float32).ravel().tolist())
+                    values.append(read(files, row).astype(np.float32).ravel().tolist())
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001
                     values.append(None)
@@ -220,21 +287,101 @@ def read_signal_segments(segments: DataFrame, channels: int, dtype: str = "<f4")
     return segments.mapInPandas(run, schema)
 
 
+def read_signal_segments(segments: DataFrame, channels: int, dtype: str = "<f4") -> DataFrame:
+    """Adds ``values`` (time-major, channel-interleaved) of [start, stop) of each row's ``path``.
+
+    Only the bytes asked for are read, through the file system that the path names. Bounds outside the file give a null and ``error``.
+    """
+    width = channels * np.dtype(dtype).itemsize
+
+    def read(files: Handles, row: dict) -> np.ndarray:
+        f, a, b = files(row["path"]), int(row["start"]), int(row["stop"])
+        n = f.size() // width
+        if not 0 <= a < b <= n:
+            raise ValueError(f"[{a}, {b}) outside 0..{n}")
+        f.seek(a * width)
+        return np.frombuffer(f.read((b - a) * width), dtype)
+
+    return _segments(segments, read)
+
+
+def read_audio_blocks(segments: DataFrame) -> DataFrame:
+    """Adds ``values``, the mono samples in -1..1 of [start_sec, stop_sec) of each row's ``path``, a PCM file.
+
+    Bounds are rounded to whole samples, half to even; the channels are averaged. A block that is empty or reaches outside
+    the file, or another sample width than 8, 16, 24 or 32 bits, gives a null and ``error``.
+    """
+
+    def read(files: Handles, row: dict) -> np.ndarray:
+        f = files(row["path"])
+        w = wav_layout(f, f.size())
+        a, b = round(row["start_sec"] * w["rate"]), round(row["stop_sec"] * w["rate"])
+        if not 0 <= a < b <= w["frames"]:
+            raise ValueError(f"[{a}, {b}) outside 0..{w['frames']}")
+        size = w["bits"] // 8
+        f.seek(w["start"] + a * size * w["channels"])
+        raw = np.frombuffer(f.read((b - a) * size * w["channels"]), np.uint8).reshape(-1, size)
+        if size == 1:
+            x = (raw[:, 0].astype(float) - 128) / 128
+        elif size in (2, 3, 4):
+            wide = np.zeros((len(raw), 4), np.uint8)
+            wide[:, 4 - size :] = raw  # at the top of 32 bits, so that the sign is where it belongs
+            x = wide.view("<i4")[:, 0] / 2.0**31
+        else:
+            raise ValueError(f"{w['bits']} bits a sample")
+        return mono(x, w["channels"])
+
+    return _segments(segments, read)
+
+
 def mono(values: list[float] | np.ndarray, channels: int) -> np.ndarray:
     """Mean over the channels of interleaved audio."""
     return np.asarray(values, float).reshape(-1, channels).mean(1)
 
 
-def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """Manual overrides keyed by ``source_id``; the header must be exact; a repeated source raises."""
-    raw = spark.read.option("header", "true").csv(path)
-    if tuple(raw.columns) != OVERRIDES:
-        raise ValueError(f"the header must be {OVERRIDES}, not {tuple(raw.columns)}")
+def read_overrides(spark: SparkSession, path: str, create: bool = False) -> DataFrame:
+    """Manual overrides keyed by ``source_id``; the header must be exact; an empty or repeated source raises.
+
+    With ``create`` a file that isn't there is made, with its header alone, for reviewers to fill in.
+    """
+    if create:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        if system.get_file_info(inner).type == fs.FileType.NotFound:
+            with system.open_output_stream(inner) as f:
+                f.write((",".join(OVERRIDES) + "\n").encode())
+    raw = read_csv(spark, path, OVERRIDES)
+    if raw.where(F.trim(F.coalesce("source_id", F.lit(""))) == "").head(1):
+        raise ValueError("a source_id is empty")
     if raw.groupBy("source_id").count().where("count > 1").head(1):
         raise ValueError("a source_id occurs twice")
     return raw
 
 
+def read_features(spark: SparkSession, path: str, schema: str, key: str, required: Sequence[str]) -> DataFrame:
+    """JSON lines of feature requests: a row without a required field, or a key that occurs twice, raises."""
+    df = read_jsonl(spark, path, schema)
+    lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit(c)) for c in dict.fromkeys([key, *required])]))
+    bad = df.select(F.col(key).alias("k"), lacking.alias("m")).where(F.size("m") > 0).orderBy("k").first()
+    if bad:
+        raise ValueError(f"row {bad.k} lacks {', '.join(bad.m)}")
+    twice = df.groupBy(key).count().where("count > 1").orderBy(key).first()
+    if twice:
+        raise ValueError(f"{key} {twice[0]} occurs twice")
+    return df
+
+
+def tree_digest(spark: SparkSession, root: str, pattern: str = "*") -> str:
+    """SHA-256 over the sorted lines ``name``, bar, SHA-256 of the content, for every file under a root; names are relative to it. Files are digested where they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    total = hashlib.sha256()
+    base = root.rstrip("/").removeprefix("file:")
+    for r in files.select("path", F.sha2("content", 256).alias("d")).orderBy("path").toLocalIterator():
+        total.update(f"{r.path.split(base, 1)[-1].lstrip('/')}|{r.d}\n".encode())
+    return total.hexdigest()
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, version: str | None = None, version_column: str = "window_schema_version") -> DataFrame:
     """JSON lines of a fixed schema; blank lines are skipped; another schema version raises."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -40,9 +40,33 @@ def write_jsonl(df: DataFrame, path: str, key: str, single: bool = False) -> Non
     (out.coalesce(1) if single else out).write.mode("errorifexists").text(path)
 
 
-def write_arrays(df: DataFrame, path: str) -> None:
-    """Feature sequences as Parquet with array columns; Spark's commit protocol makes a partial write invisible."""
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+STORE = "features-v1"
+
+
+def write_arrays(df: DataFrame, path: str, meta: Mapping[str, str] | None = None, length: int | None = None, values: str = "values") -> None:
+    """Feature sequences as Parquet with array columns and their metadata in every row; Spark's commit protocol makes a partial write invisible.
+
+    ``length``: what every sequence must have. A null, empty, wrongly long or not finite sequence raises before anything is written.
+    """
+    if values in df.columns:
+        n = F.size(values)
+        bad = F.col(values).isNull() | (n < 1) | F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        if length is not None:
+            bad = bad | (n != length)
+        if df.where(bad).head(1):
+            raise ValueError(f"{values} must be finite sequences" + (f" of length {length}" if length else ""))
+    fixed = {"store_version": STORE, **(meta or {})}
+    df.withColumn("meta", F.create_map(*[F.lit(str(x)) for kv in sorted(fixed.items()) for x in kv])).write.mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
+def read_arrays(spark: SparkSession, path: str, meta: Mapping[str, str] | None = None) -> DataFrame:
+    """A feature store whose version and metadata are as expected; others raise."""
+    df = spark.read.parquet(path)
+    want = {"store_version": STORE, **(meta or {})}
+    wrong = df.where(~F.forall(F.array(*[F.element_at("meta", k).eqNullSafe(str(v)) for k, v in want.items()]), lambda x: x)).head(1)
+    if wrong:
+        raise ValueError(f"the store is not of {want}")
+    return df
 
 
 def extend_index(spark: SparkSession, wanted: DataFrame, path: str, key: str, extract) -> dict[str, int]:
@@ -76,7 +100,7 @@ def load_scaler(spark: SparkSession, path: str, kind: str, version: str = "scale
 
 def normalization_rules() -> dict[str, object]:
     """The rules artifact: version, ordered rules, and the tables they use."""
-    return {"version": "text-normalization-v1", "rules": list(RULES), "invisible": INVISIBLE, "punctuation": dict(PUNCTUATION)}
+    return {"version": "text-normalization-v2", "rules": list(RULES), "invisible": INVISIBLE, "punctuation": dict(PUNCTUATION)}
 
 
 def markdown_table(rows: Sequence[Mapping[str, object]], columns: Sequence[str]) -> str:
@@ -94,3 +118,21 @@ def protocol_artifact(assigned: DataFrame) -> dict[str, object]:
         "excluded_by_reason": {r["reason"]: r["n"] for r in rows if r["reason"]},
         "total": sum(r["n"] for r in rows),
     }
+
+
+def audit_report(title: str, sections: Mapping[str, DataFrame], path: str, most: int = 500) -> str:
+    """A Markdown report with a table for each named aggregate, sorted by all its columns; gives its SHA-256.
+
+    Aggregates are small by their nature; one with more than ``most`` rows raises instead of being cut.
+    """
+    parts = [f"# {title}\n"]
+    for name, df in sections.items():
+        rows = df.orderBy(*df.columns).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows: not for a report")
+        parts.append(f"## {name}\n\n" + markdown_table([r.asDict() for r in rows], df.columns))
+    data = "\n".join(parts).encode()
+    with open(f"{path}.part", "wb") as f:
+        f.write(data)
+    os.replace(f"{path}.part", path)
+    return hashlib.sha256(data).hexdigest()

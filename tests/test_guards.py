@@ -35,3 +35,28 @@ def test_loss_and_schedule(frame):
     assert abs(G.symmetric_loss(df, "q", "c", "s", F.col("q") == F.col("c")).first().loss - want) < 1e-12
     b = frame([(0, 0, "a"), (0, 0, "b"), (0, 1, "c")], "r int, k int, i string")
     assert G.schedule_digest(b, ["r", "k"], "i").first() == G.schedule_digest(b.orderBy(F.desc("i")), ["r", "k"], "i").first()
+
+
+def test_protocol_inputs_partitions_and_datasets(frame):
+    schema = "record_id string, split_group_id string, manifest_schema_version string"
+    good = frame([("a", "g", "1"), ("b", "g", "1")], schema)
+    G.require_protocol_input(good, ["record_id"])
+    for rows in ([], [("a", "g", "1"), ("a", "g", "1")], [("", "g", "1")], [("a", None, "1")], [("a", "g", "1"), ("b", "g", "2")]):
+        with pytest.raises(ValueError):
+            G.require_protocol_input(frame(rows, schema), ["record_id"])
+    with pytest.raises(ValueError):
+        G.require_protocol_input(good, ["record_id", "other"])
+    parts = frame([("a", "train"), ("b", "test"), ("c", None)], "record_id string, partition string")
+    G.require_partitions("A_text", parts, good)
+    for setting, rows in (("B_x", [("a", "train"), ("b", "test")]), ("A_x", [("a", "train"), ("a", "test"), ("b", "test")]), ("A_x", [("a", "train")]), ("A_x", [("a", "train"), ("b", "test"), ("z", "test")])):
+        with pytest.raises(ValueError):
+            G.require_partitions(setting, frame(rows, "record_id string, partition string"), good)
+    windows = frame([("e1", "t1", "train", 250, 750), ("e2", "t2", "train", 250, 750), ("e2", "t3", "test", 250, 750)], "entity string, target_id string, split string, rate int, n_samples int")
+    entities = frame([("e1", 0), ("e2", 1)], "entity string, index int")
+    feats = frame([("t1", "train", [1.0, 2.0]), ("t2", "train", [1.0, 2.0])], "target_id string, split string, values array<double>")
+    scaler = frame([(1.0,)], "center double")
+    check = lambda w=windows, p="train", e=entities, f=feats, c=10, s=scaler, n=2: G.require_dataset(w, p, e, f, c, s, n)
+    check()
+    for bad in ({"p": "dev"}, {"p": "validation"}, {"c": 750}, {"s": None}, {"n": 3}, {"f": feats.limit(1)}, {"e": entities.limit(1)}, {"e": frame([("e1", 0), ("e2", 2)], "entity string, index int")}, {"w": windows.withColumn("rate", F.monotonically_increasing_id())}):
+        with pytest.raises(ValueError):
+            check(**bad)

@@ -88,3 +88,94 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "p.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         S.read_overrides(spark, str(tmp_path / "p.csv"))
+    assert S.read_overrides(spark, str(tmp_path / "new.csv"), create=True).count() == 0
+    (tmp_path / "q.csv").write_text(",".join(S.OVERRIDES) + "\n,b,manual,x,y\n")
+    with pytest.raises(ValueError):
+        S.read_overrides(spark, str(tmp_path / "q.csv"))
+
+
+def test_strict_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffid,text\n1,"a, ""b"""\n2,\n', encoding="utf-8")
+    assert [tuple(r) for r in S.read_csv(spark, str(tmp_path / "a.csv"), ["id", "text"]).orderBy("id").collect()] == [("1", 'a, "b"'), ("2", None)]
+    with pytest.raises(ValueError):
+        S.read_csv(spark, str(tmp_path / "a.csv"), ["id"])
+    (tmp_path / "b.csv").write_text("id,text\n1,a,more\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        S.read_csv(spark, str(tmp_path / "b.csv"), ["id", "text"]).collect()
+
+
+def test_sheets_in_the_order_of_the_workbook():
+    out = io.BytesIO()
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rel}><sheets><sheet name="b" r:id="x2"/><sheet name="a" r:id="x1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="x1" Target="worksheets/sheet1.xml"/><Relationship Id="x2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        for i in (1, 2):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet {ns}><sheetData><row><c r="A1"><v>{i}</v></c></row></sheetData></worksheet>')
+    assert S.xlsx_cells(out.getvalue()) == [(1, 1, "2")] and S.xlsx_cells(out.getvalue(), 1) == [(1, 1, "1")]
+    with pytest.raises(ValueError):
+        S.xlsx_cells(out.getvalue(), 2)
+
+
+def test_audio_blocks(spark, tmp_path):
+    for name, width in (("two", 2), ("three", 3)):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setnchannels(2), w.setsampwidth(width), w.setframerate(10)
+            w.writeframes(b"".join(int(x * 2 ** (8 * width - 1)).to_bytes(width, "little", signed=True) for i in range(20) for x in (i / 64, -i / 32)))
+    rows = [(str(tmp_path / f"{n}.wav"), a, z) for n in ("two", "three") for a, z in ((0.5, 0.8), (1.5, 2.0), (1.5, 2.2), (0.3, 0.3))]
+    got = S.read_audio_blocks(spark.createDataFrame(rows, "path string, start_sec double, stop_sec double")).collect()
+    assert len(got) == 8
+    for r in got:
+        a, z = round(r.start_sec * 10), round(r.stop_sec * 10)
+        if r.error:
+            assert z > 20 or a == z
+        else:
+            assert np.allclose(r.asDict()["values"], [-i / 128 for i in range(a, z)], atol=1e-4)
+    assert sum(bool(r.error) for r in got) == 4
+
+
+def test_stores_features_reports_and_trees(spark, tmp_path):
+    import hashlib
+
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "id string, values array<double>")
+    W.write_arrays(df, str(tmp_path / "store"), {"model": "m"}, 2)
+    assert W.read_arrays(spark, str(tmp_path / "store"), {"model": "m"}).count() == 2
+    for bad in ([None], [[]], [[1.0]], [[1.0, float("nan")]]):
+        with pytest.raises(ValueError):
+            W.write_arrays(spark.createDataFrame([("c", *bad)], "id string, values array<double>"), str(tmp_path / "no"), length=2)
+    with pytest.raises(ValueError):
+        W.read_arrays(spark, str(tmp_path / "store"), {"model": "other"})
+    (tmp_path / "f.jsonl").write_text('{"id":"a","text":"x"}\n\n{"id":"b","text":"y"}\n')
+    assert S.read_features(spark, str(tmp_path / "f.jsonl"), "id string, text string", "id", ["text"]).count() == 2
+    for body in ('{"id":"a"}\n', '{"id":"a","text":"x"}\n{"id":"a","text":"y"}\n'):
+        (tmp_path / "g.jsonl").write_text(body)
+        with pytest.raises(ValueError):
+            S.read_features(spark, str(tmp_path / "g.jsonl"), "id string, text string", "id", ["text"])
+    W.audit_report("Audit", {"Rows": spark.createDataFrame([(2, "b"), (1, "a|c")], "n int, t string")}, str(tmp_path / "r.md"))
+    assert (tmp_path / "r.md").read_text() == "# Audit\n\n## Rows\n\n| n | t |\n|---|---|\n| 1 | a\\|c |\n| 2 | b |\n"
+    with pytest.raises(ValueError):
+        W.audit_report("Audit", {"Rows": spark.range(9)}, str(tmp_path / "r.md"), most=8)
+    (tmp_path / "tree" / "x").mkdir(parents=True)
+    (tmp_path / "tree" / "b.txt").write_text("B"), (tmp_path / "tree" / "x" / "a.txt").write_text("A")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert S.tree_digest(spark, str(tmp_path / "tree")) == sha(f"b.txt|{sha('B')}\nx/a.txt|{sha('A')}\n")
+
+
+def test_runs_from_a_configuration(spark, tmp_path, monkeypatch):
+    import json
+
+    from cohortloom import run as R
+    from cohortloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "queries", lambda: {"one": lambda s, d: s.range(3)})
+    (tmp_path / "c.json").write_text(json.dumps({"tables": "t", "output": str(tmp_path / "out"), "queries": ["one"], "windows": {"window_sec": 2.0}}))
+    config = R.RunConfig.read(str(tmp_path / "c.json"))
+    assert config.windows.window_sec == 2.0 and spark.read.parquet(R.run(spark, config)["one"]).count() == 3
+    with pytest.raises(Exception, match="(?i)exists"):
+        R.run(spark, config)
+    for bad in ({"queries": ("none",)}, {"surplus": 1}):
+        with pytest.raises(ValueError):
+            R.run(spark, R.RunConfig.read(str(tmp_path / "c.json"), **bad))
+    with pytest.raises(ValueError):
+        R.WindowConfig(window_sec=0)
