@@ -81,19 +81,52 @@ def ordered_digest(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n").cast("binary"), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+#: Letters up to which pairs are worked on together; longer ones go one by one, on whole integers.
+TOGETHER = 1024
+
+
+def _lcs_long(x: str, y: str) -> int:
+    full = (1 << len(x)) - 1
+    where: dict[str, int] = {}
+    for j, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << j
+    v = full
+    for c in y:
+        u = v & where.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(x) - v.bit_count()
+
+
 def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
-    """Longest common subsequence of each pair, by the bit-parallel recurrence on whole integers of any length."""
+    """Longest common subsequence of each pair, by the bit-parallel recurrence for all pairs of like length at once, letter by letter of ``b``."""
     out = np.zeros(len(a), np.int64)
-    for i, (x, y) in enumerate(zip(a, b)):
-        full = (1 << len(x)) - 1
-        where: dict[str, int] = {}
-        for j, c in enumerate(x):
-            where[c] = where.get(c, 0) | 1 << j
-        v = full
-        for c in y:
-            u = v & where.get(c, 0)
-            v = ((v + u) | (v - u)) & full
-        out[i] = len(x) - v.bit_count()
+    n = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    for i in np.flatnonzero(n.max(1, initial=0) > TOGETHER):
+        out[i] = _lcs_long(a[i], b[i])
+    words = -(-n[:, 0] // 64)
+    for w in np.unique(words[(n.max(1, initial=0) <= TOGETHER) & (n.min(1, initial=TOGETHER) > 0)]):
+        own = np.flatnonzero((words == w) & (n.max(1) <= TOGETHER) & (n.min(1) > 0))
+        own = own[np.argsort(-n[own, 1], kind="stable")]
+        grid = lambda texts, size: np.array([np.pad(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4"), (0, size - len(t))) for t in texts])
+        x, y = grid([a[i] for i in own], int(w) * 64), grid([b[i] for i in own], int(n[own, 1].max()))
+        real = np.arange(int(w) * 64) < n[own, 0][:, None]
+        pack = lambda bits: np.packbits(bits, axis=1, bitorder="little").view("<u8")
+        full = pack(real)
+        v = full.copy()
+        ending = np.searchsorted(-n[own, 1], -np.arange(y.shape[1]), "left")  # pairs whose text goes on, the longest first
+        for j in range(y.shape[1]):
+            k = ending[j]
+            old = v[:k]
+            u = old & pack((x[:k] == y[:k, j : j + 1]) & real[:k])
+            carry = np.zeros(k, np.uint64)
+            new = np.empty_like(old)
+            for q in range(int(w)):
+                t = old[:, q] + u[:, q]
+                s = t + carry
+                carry = ((t < old[:, q]) | (s < t)).astype(np.uint64)
+                new[:, q] = s | (old[:, q] & ~u[:, q])  # u is part of v, so v - u only clears bits
+            v[:k] = new & full[:k]
+        out[own] = n[own, 0] - np.bitwise_count(v).sum(1)
     return out
 
 

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from cohortloom.store import materialize
 
 #: Parts into which the rows of one key are spread.
 SALTS = 16
@@ -29,3 +32,16 @@ def null_safe_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "in
     other = b.select(*[F.col(n).alias(f"_on_{n}") for n in on], *[c for c in b.columns if c not in on])
     same = [F.col(n).eqNullSafe(F.col(f"_on_{n}")) for n in on]
     return a.join(other, same, how).drop(*[f"_on_{n}" for n in on])
+
+
+def ordered_index(df: DataFrame, column: str, name: str = "i") -> DataFrame:
+    """Distinct non-null values of a column with their place from 0 in its order, without a task that holds them all.
+
+    Values are cut into ranges and ranked within each; one row a range says how many come before.
+    """
+    x = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    x = materialize(x.select(column, F.spark_partition_id().alias("_p")))
+    n = x.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min(column).alias("_first"))
+    before = n.select("_p", (F.sum("_n").over(Window.orderBy("_first")) - F.col("_n")).alias("_before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
+    return x.withColumn("_at", place).join(F.broadcast(before), "_p").select(column, (F.col("_before") + F.col("_at")).alias(name))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from cohortloom.functions import ids
 from cohortloom.operators import intervals as I
+from cohortloom.operators.audit import bucket_digits
 from cohortloom.store import table
 
 _ORDER = ("onset", "trial_type", "value")
@@ -113,7 +114,7 @@ def window_jsonl_digest(s, d):
     w = sync_windows(s, d)
     line = F.to_json(F.struct("audio_start", "audio_stop", "eeg_start", "eeg_stop", "record_id", "row_id"))
     rows = w.select("row_id", "eeg_start", line.alias("line"))
-    bucket = F.substring(F.sha2(F.col("row_id").cast("string").cast("binary"), 256), 1, 2)
+    bucket = F.substring(F.sha2(F.col("row_id").cast("string").cast("binary"), 256), 1, bucket_digits(w.count()))
     per = rows.groupBy(bucket.alias("bucket")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "eeg_start", "line"))), lambda x: x["line"]), "\n").cast("binary"), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
     return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n").cast("binary"), 256).alias("digest"), F.sum("n").alias("n_windows"))
 

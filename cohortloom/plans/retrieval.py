@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from cohortloom.operators import retrieval as R
 from cohortloom.operators import series as V
 from cohortloom.operators.guards import delay_label
-from cohortloom.operators.joins import null_safe_join
+from cohortloom.operators.joins import null_safe_join, ordered_index
 from cohortloom.store import table
 
 # The baselines that a report must have.
@@ -190,8 +190,8 @@ def argmin_select(s, d):
 
 
 def entity_index(s, d):
-    e = table(s, d, "pl_windows").select("subject_group_id").distinct()
-    return e.select("subject_group_id", (F.row_number().over(Window.partitionBy().orderBy("subject_group_id")) - 1).cast("int").alias("i"))  # a handful of subjects
+    """Every entity with its number from 0 in order."""
+    return ordered_index(table(s, d, "pl_windows"), "subject_group_id").select("subject_group_id", F.col("i").cast("int").alias("i"))
 
 
 def unique_target_batches(s, d):

@@ -182,3 +182,30 @@ def test_profile_has_every_column(spark, frame, tmp_path):
     assert set(p) == {(load, c) for load in (1, 2) for c in m.columns}
     assert (p[1, "row_id"].n_rows, p[1, "row_id"].distinct_count, p[1, "row_id"].max_number) == (3, 2, 2)
     assert p[1, "recorded_at"].n_null == 1 and p[2, "recorded_at"].min_number == 1926752400 and p[1, "loaded_at"].distinct_count == 1 and p[2, "load_no"].max_number == 2
+
+
+def test_common_subsequences():
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(chr(0x4E00 + x) for x in rng.integers(0, 5, n))
+    sizes = [(0, 0), (0, 5), (5, 0), (1, 1), (63, 64), (64, 65), (128, 30), (130, 200), (1025, 40), (7, 1030)]
+    a, b = [word(x) for x, _ in sizes], [word(y) for _, y in sizes]
+
+    def plain(x, y):
+        p = [0] * (len(y) + 1)
+        for c in x:
+            q = [0]
+            for j, e in enumerate(y, 1):
+                q.append(p[j - 1] + 1 if c == e else max(p[j], q[-1]))
+            p = q
+        return p[-1]
+
+    assert A.lcs_lengths(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)] and A.lcs_lengths([], []).tolist() == []
+
+
+def test_ordered_index(frame):
+    from cohortloom.operators.joins import ordered_index
+
+    rows = [(f"v{i * 37 % 500:03d}",) for i in range(1200)] + [(None,)]
+    df = frame(rows, "v string")
+    got = {r.v: r.i for r in ordered_index(df.repartition(7), "v").collect()}
+    assert got == {v: i for i, v in enumerate(sorted({r[0] for r in rows if r[0]}))} and ordered_index(df.limit(0), "v").count() == 0
