@@ -35,6 +35,11 @@ def _number(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
+def contract_checks_names() -> tuple[str, ...]:
+    """The columns under contract, in order."""
+    return ("audio_start_sec", "eeg_duration_sec", "quality_flag", "raw_text")
+
+
 def contract_checks() -> dict[str, Column]:
     """For each column under contract, when its value breaks it. Needs ``_audio_sec``, the length of the audio file.
 
@@ -153,34 +158,42 @@ BINS = 4096
 ROWS = 2048  # worked on at once
 #: Pairs of loads that one fit holds in memory, whatever the number of loads.
 PAIRS = 8
-#: Passes of the refit without a column.
-REFITS = 2
+#: Passes of the refit without a column, and change of the largest coefficient below which a fit stands.
+REFITS, STILL = 2, 1e-3
 
 
 def _featured(df: DataFrame, load: str, key: str, columns: list[str]) -> DataFrame:
-    """(load order value, fold, f, h): the plain features of every column in f, the value's 64-bit hash in h."""
+    """(load order value, fold, f, h, broken): of every column its number (of text the length) in f and the value's 64-bit hash in h, 0 for null; bits of the broken contracts."""
     kinds = dict(df.dtypes)
-    parts, hashes = [], []
-    for c in columns:
-        x = _as_number(c, kinds[c]) if _is_number(kinds[c]) else F.length(_text(c)).cast("double")
-        size = F.when(_number(x), F.log1p(F.abs(x))).otherwise(F.lit(0.0))
-        broken = F.array_contains(BROKEN, c).cast("double") if BROKEN in df.columns else F.lit(0.0)
-        parts += [F.col(c).isNull().cast("double"), F.coalesce(F.signum(x), F.lit(0.0)) * size, size, size * size, broken]
-        hashes.append(F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(c), _text(c))))
+    numbers = [(_as_number(c, kinds[c]) if _is_number(kinds[c]) else F.length(_text(c)).cast("double")) for c in columns]
+    hashes = [F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(c), _text(c))) for c in columns]
+    bits = F.lit(0).cast("long")
+    if BROKEN in df.columns:
+        place = {c: i for i, c in enumerate(columns)}
+        for i, c in enumerate(c for c in contract_checks_names() if c in place):
+            bits = bits.bitwiseOR(F.when(F.array_contains(BROKEN, c), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
     return df.select(
         F.col(load).cast("long").alias("load"), F.pmod(F.xxhash64(F.col(key), F.lit("fold")), F.lit(2)).cast("int").alias("fold"),
-        F.array(*parts).cast("array<float>").alias("f"), F.array(*hashes).alias("h"),
+        F.array(*[F.coalesce(n, F.lit(float("nan"))) for n in numbers]).alias("f"), F.array(*hashes).alias("h"), bits.alias("broken"),
     )
 
 
-def _batches(it: Iterator[pa.RecordBatch], columns: int):
+def _batches(it: Iterator[pa.RecordBatch], columns: list[str]):
     """(loads, folds, plain features [row, column, PLAIN], bytes of the hashes [row, column, 8])."""
+    n = len(columns)
+    under = [columns.index(c) for c in contract_checks_names() if c in columns]
     for whole in it:
         for i in range(0, whole.num_rows, ROWS):
             b = whole.slice(i, ROWS)
-            x = np.asarray(b.column("f").flatten(), float).reshape(b.num_rows, columns, PLAIN)
-            h = np.ascontiguousarray(np.asarray(b.column("h").flatten(), "<i8")).view(np.uint8).reshape(b.num_rows, columns, 8)
-            yield np.asarray(b.column("load")), np.asarray(b.column("fold")), x, h
+            v = np.asarray(b.column("f").flatten(), float).reshape(b.num_rows, n)
+            h = np.asarray(b.column("h").flatten(), "<i8").reshape(b.num_rows, n)
+            v = np.where(np.isfinite(v), v, 0)
+            x = np.zeros((b.num_rows, n, PLAIN))
+            size = np.log1p(np.abs(v))
+            x[:, :, 0], x[:, :, 1], x[:, :, 2], x[:, :, 3] = h == 0, np.sign(v) * size, size, size * size
+            for bit, j in enumerate(under):
+                x[:, j, 4] = np.asarray(b.column("broken")) >> bit & 1
+            yield np.asarray(b.column("load")), np.asarray(b.column("fold")), x, np.ascontiguousarray(h).view(np.uint8).reshape(b.num_rows, n, 8)
 
 
 def _tables(means: np.ndarray) -> np.ndarray:
@@ -252,7 +265,7 @@ def _drift(feats: DataFrame, loads: list[int], columns: list[str], steps: int, r
 
     def moments(it):
         acc: dict = {}
-        for y, fold, x, h in _batches(it, n_columns):
+        for y, fold, x, h in _batches(it, columns):
             for i, a in enumerate(loads):
                 for k in (0, 1):
                     at = (y == a) & (fold == k)
@@ -291,29 +304,34 @@ def _drift(feats: DataFrame, loads: list[int], columns: list[str], steps: int, r
         z = np.empty((len(x), n_columns, PER_COLUMN))
         z[:, :, :PLAIN] = (x - mean) * scale
         z[:, :, PLAIN] = (g[1] - g[0] - middle[p, f]) * unit[p, f]
-        return np.hstack([np.ones((len(x), 1)), np.clip(z, -5, 5).reshape(len(x), -1)])
+        return np.hstack([np.ones((len(x), 1)), np.clip(z, -5, 5).reshape(len(x), -1)]).astype(np.float32)  # summed in double precision over batches
 
     for _ in range(steps):
 
         def newton(it, w=w):
             acc: dict = {}
             tables = _tables(signs)
-            for y, fold, x, h in _batches(it, n_columns):
+            for y, fold, x, h in _batches(it, columns):
                 for p, (a, b) in enumerate(pairs):
                     for k in (0, 1):
                         at = ((y == a) | (y == b)) & (fold != k)  # fitted on the other fold
                         if at.any():
-                            t = (y[at] == b).astype(float)
+                            t = (y[at] == b).astype(np.float32)
                             z = design(x[at], h[at], t, p, (1 - k, True), tables)
-                            q = 1 / (1 + np.exp(-np.clip(z @ w[p, k], -30, 30)))
-                            v = np.concatenate([z.T @ (t - q), ((z * (q * (1 - q))[:, None]).T @ z).ravel()])
+                            q = 1 / (1 + np.exp(-np.clip(z @ w[p, k].astype(np.float32), -30, 30)))
+                            v = np.concatenate([z.T @ (t - q), ((z * (q * (1 - q))[:, None]).T @ z).ravel()]).astype(float)
                             acc[p, k] = acc.get((p, k), 0) + v
             yield from _emit(acc)
 
+        moved = 0.0
         for at, v in _summed(feats, newton).items():
             h = v[d:].reshape(d, d) + ridge * np.eye(d)
             hess[at] = h
-            w[at] = w[at] + np.linalg.solve(h, v[:d] - ridge * w[at])
+            move = np.linalg.solve(h, v[:d] - ridge * w[at])
+            w[at] = w[at] + move
+            moved = max(moved, float(np.abs(move).max()))
+        if moved < STILL:
+            break
     models = {}
     for at, h in hess.items():
         inv = np.linalg.inv(h)
@@ -330,15 +348,15 @@ def _drift(feats: DataFrame, loads: list[int], columns: list[str], steps: int, r
         def gradient(it):
             acc: dict = {}
             tables = _tables(signs)
-            for y, fold, x, h in _batches(it, n_columns):
+            for y, fold, x, h in _batches(it, columns):
                 for p, (a, b) in enumerate(pairs):
                     for k in (0, 1):
                         at = ((y == a) | (y == b)) & (fold != k)
                         if at.any() and (p, k) in models:
-                            t = (y[at] == b).astype(float)
+                            t = (y[at] == b).astype(np.float32)
                             z = design(x[at], h[at], t, p, (1 - k, True), tables)
-                            q = 1 / (1 + np.exp(-np.clip(z @ models[p, k].T, -30, 30)))
-                            acc[p, k] = acc.get((p, k), 0) + ((t[:, None] - q).T @ z).ravel()
+                            q = 1 / (1 + np.exp(-np.clip(z @ models[p, k].T.astype(np.float32), -30, 30)))
+                            acc[p, k] = acc.get((p, k), 0) + ((t[:, None] - q).T @ z).ravel().astype(float)
             yield from _emit(acc)
 
         for at, g in _summed(feats, gradient).items():
@@ -353,13 +371,13 @@ def _drift(feats: DataFrame, loads: list[int], columns: list[str], steps: int, r
     def scored(it):
         acc: dict = {}
         tables = _tables(signs)
-        for y, fold, x, h in _batches(it, n_columns):
+        for y, fold, x, h in _batches(it, columns):
             for p, (a, b) in enumerate(pairs):
                 for k in (0, 1):
                     at = ((y == a) | (y == b)) & (fold == k)
                     if at.any() and (p, k) in models:
                         z = design(x[at], h[at], y[at] == b, p, (1 - k, False), tables)
-                        s = 1 / (1 + np.exp(-np.clip(z @ models[p, k].T, -30, 30)))
+                        s = 1 / (1 + np.exp(-np.clip(z @ models[p, k].T.astype(np.float32), -30, 30)))
                         i = np.minimum((s * BINS).astype(int), BINS - 1) + (np.arange(s.shape[1]) * 2 + 0)[None, :] * BINS + ((y[at] == b) * BINS)[:, None]
                         acc[p, k] = acc.get((p, k), 0) + np.bincount(i.ravel(), minlength=2 * BINS * s.shape[1]).astype(float)
         yield from _emit(acc)
