@@ -116,7 +116,8 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None) -> DataF
     columns = columns or [c for c in df.columns if c not in (load, BROKEN)]
     kinds = dict(df.dtypes)
     none = F.lit(None)
-    bad = (lambda c: F.count_if(F.array_contains(BROKEN, c))) if BROKEN in df.columns else (lambda c: F.lit(0).cast("long"))
+    marked = contract_checks_names() if BROKEN in df.columns else ()
+    bad = lambda c: F.count_if(F.array_contains(BROKEN, c)) if c in marked else F.sum(F.lit(0).cast("long"))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(columns):
         v = _as_number(c, kinds[c]) if _is_number(kinds[c]) else _text(c)

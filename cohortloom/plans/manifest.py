@@ -118,7 +118,6 @@ def segmented_spans(s, d):
 
 
 _REASON_CASES = " ".join(f"WHEN '{r}' THEN '{f}'" for r, f in M.FLAG_OF_REASON.items())
-_LIT = r"length(regexp_replace({}, '[\p{{P}}\p{{Z}}\p{{C}}]', '', 'g'))"
 _BASE = f"""{_R},
 rec AS (SELECT eeg_file, max(eeg_sampling_rate) AS rate FROM trial_manifest WHERE paradigm = 'passive_listening' GROUP BY 1),
 oc AS (SELECT eeg_file, count(*) FILTER (k = 'ROWS') AS ns, count(*) FILTER (k = 'ROWE') AS ne FROM e GROUP BY 1),
@@ -139,24 +138,23 @@ def _flags_sql(dataset, book, paradigm, duration, prefix, text, alignment, glob,
     return f"coalesce(nullif(array_to_string(list_sort(list_distinct(list_filter(list_concat(coalesce(base.flags, []), {own}), lambda x : x IS NOT NULL))), '|'), ''), 'ok')"
 
 
-_BOOK = "CASE WHEN {0} = 'granettdream' THEN 'garnettdream' ELSE {0} END"
-_NAME = r"regexp_replace(regexp_replace(lower(trim(session_id)), '[^0-9a-z]+', '', 'g'), '^_+|_+$', '', 'g')"
-_STABLE = "'{v}-' || substr(sha256({v_} || chr(0)), 1, 24)"
-SQL = {
-    "anomaly_flags": f"WITH {_BASE} SELECT eeg_file, array_to_string(reasons, '|') AS reasons, array_to_string(flags, '|') AS flags FROM base",
-    "derive_flags": f"WITH {_BASE} SELECT row_id, " + _flags_sql("dataset_version", "session_id", "paradigm", "((eeg_end_sample - eeg_start_sample) / nullif(eeg_sampling_rate, 0))", "eeg_start_sample < first_context", "(raw_text IS NOT NULL)", "text_alignment_status", "global_text_alignment_status", "(audio_start_sec IS NOT NULL)")
-    + " AS flags FROM trial_manifest LEFT JOIN base USING (eeg_file) LEFT JOIN ctx USING (eeg_file)",
-    "segmented_audio": """
-WITH f AS (SELECT audio_file, book_id || '/' || speaker_id AS timeline, audio_index, frame_count / sample_rate_hz AS dur FROM audio_files),
+_SEGMENTS = """f AS (SELECT audio_file, book_id || '/' || speaker_id AS timeline, audio_index, frame_count / sample_rate_hz AS dur FROM audio_files),
 g AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY timeline ORDER BY audio_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS s0 FROM f),
 r AS (SELECT audio_file, source_excel_row, min(audio_start_sec) FILTER (abs(audio_start_sec) < 1e300) AS a, min(audio_end_sec) FILTER (abs(audio_end_sec) < 1e300) AS z FROM trial_manifest WHERE paradigm = 'passive_listening' AND audio_file IS NOT NULL AND source_excel_row IS NOT NULL GROUP BY 1, 2),
 x AS (SELECT * FROM r JOIN g USING (audio_file)),
-ev AS (SELECT timeline, s0 + a AS t0, s0 + z AS t1 FROM x WHERE a IS NOT NULL AND z IS NOT NULL),
-j AS (SELECT ev.timeline, g.audio_index, t0 - g.s0 AS a, t1 - g.s0 AS z, g.dur FROM ev ASOF JOIN g ON ev.timeline = g.timeline AND ev.t0 >= g.s0),
+ev AS (SELECT timeline, s0 + a AS t0, s0 + z AS t1, audio_file || '#' || source_excel_row AS event_id FROM x WHERE a IS NOT NULL AND z IS NOT NULL),
+j AS (SELECT ev.timeline, event_id, g.audio_index, t0 - g.s0 AS a, t1 - g.s0 AS z, g.dur FROM ev ASOF JOIN g ON ev.timeline = g.timeline AND ev.t0 >= g.s0),
 b AS (SELECT *, a < 0 OR a >= dur OR z <= a OR z > dur + 0.5 AS bad FROM j),
 p AS (SELECT timeline, audio_index, count(*) AS n_events, count(*) FILTER (bad) AS n_invalid, count(*) FILTER (NOT bad AND z > dur) AS n_clamped FROM b GROUP BY 1, 2),
 w AS (SELECT timeline, audio_index, count(*) AS n_units FROM x GROUP BY 1, 2),
-q AS (SELECT timeline, audio_index, n_units, coalesce(n_events, 0) AS n_events, coalesce(n_invalid, 0) AS n_invalid, coalesce(n_clamped, 0) AS n_clamped FROM w LEFT JOIN p USING (timeline, audio_index))
-SELECT *, n_events = n_units AND n_invalid = 0 AS file_valid, bool_and(n_events = n_units AND n_invalid = 0) OVER (PARTITION BY timeline) AS timeline_valid FROM q""",
+q AS (SELECT timeline, audio_index, n_units, coalesce(n_events, 0) AS n_events, coalesce(n_invalid, 0) AS n_invalid, coalesce(n_clamped, 0) AS n_clamped FROM w LEFT JOIN p USING (timeline, audio_index))"""
+_NAME = "lower(trim(session_id))"
+SQL = {
+    "anomaly_flags": f"WITH {_BASE} SELECT eeg_file, array_to_string(reasons, '|') AS reasons, array_to_string(flags, '|') AS flags FROM base",
+    "derive_flags": f"WITH {_BASE} SELECT row_id, " + _flags_sql("dataset_version", "session_id", "paradigm", "((eeg_end_sample - eeg_start_sample) / nullif(eeg_sampling_rate, 0))", "eeg_start_sample < first_context", "(raw_text IS NOT NULL)", "text_alignment_status", "global_text_alignment_status", "(audio_start_sec IS NOT NULL)")
+    + " AS flags FROM trial_manifest LEFT JOIN base USING (eeg_file) LEFT JOIN ctx USING (eeg_file)",
+    "speaker_variant": f"WITH t AS (SELECT DISTINCT eeg_file, paradigm, {_NAME} AS name, regexp_extract(subject_id, '([0-9]{{2}})$', 1) AS subject FROM trial_manifest) SELECT DISTINCT eeg_file, CASE WHEN name = 'granettdream' THEN 'garnettdream' ELSE name END AS book, CASE WHEN paradigm = 'passive_listening' THEN CASE WHEN subject IN ('01', '02', '03', '04') THEN 'f1' ELSE 'm1' END WHEN paradigm = 'reading_aloud' THEN subject END AS speaker FROM t",
+    "segmented_audio": f"WITH {_SEGMENTS} SELECT *, n_events = n_units AND n_invalid = 0 AS file_valid, bool_and(n_events = n_units AND n_invalid = 0) OVER (PARTITION BY timeline) AS timeline_valid FROM q",
+    "segmented_spans": f"WITH {_SEGMENTS}, v AS (SELECT timeline FROM q GROUP BY 1 HAVING bool_and(n_events = n_units AND n_invalid = 0)) SELECT timeline, audio_index, event_id, round(a, 6) AS start_sec, round(least(z, dur), 6) AS end_sec, NOT bad AND z > dur AS clamped FROM b JOIN v USING (timeline) JOIN w USING (timeline, audio_index)",
 }
-QUERIES = {k: globals()[k] for k in SQL} | {"build_manifest": build_manifest, "segmented_spans": segmented_spans, "speaker_variant": speaker_variant}
+QUERIES = {k: globals()[k] for k in SQL} | {"build_manifest": build_manifest}

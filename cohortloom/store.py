@@ -36,7 +36,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation of it.
 
     Written as Parquet rather than by ``checkpoint()``: it is columnar and compressed, later reads still prune
-    columns, and the files outlive any executor.
+    columns, and the files outlive any executor. They are deleted when the application ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"cohortloom-{uuid.uuid4().hex}")
@@ -44,8 +44,14 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
