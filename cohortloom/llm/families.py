@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     head neighbours collapses into the smallest of them, edges are rewritten by two joins, loops and repeats vanish.
     About a quarter of the remaining vertices go in a round, so rounds grow as the logarithm of the graph. The
     recorded moves form a forest, unwound by doubling. Nulls and loops are dropped, direction and repeats don't matter,
-    an empty graph gives an empty result. Each round is written to the shared folder; nothing is collected.
+    an empty graph gives an empty result. The edges of each round are written to the shared folder, its moves are kept in the
+    executors, from which a lost part is computed again out of the round's edges; nothing is collected.
     """
     spark = edges.sparkSession
     pairs = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
@@ -46,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
     moves: list[DataFrame] = []
     turn = 0
     while not e.isEmpty():
-        move = materialize(e.where(~_head("a", turn) & _head("b", turn)).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("to")))
+        move = e.where(~_head("a", turn) & _head("b", turn)).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("to")).persist()
         near, far = move.select(F.col("v").alias("a"), F.col("to").alias("a2")), move.select(F.col("v").alias("b"), F.col("to").alias("b2"))
         e = e.join(near, "a", "left").join(far, "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
         e = materialize(e.where(F.col("a") != F.col("b")).distinct())
@@ -54,9 +55,11 @@ def components(edges: DataFrame) -> DataFrame:
         turn += 1
     if not moves:
         return spark.createDataFrame([], T.StructType([T.StructField("vertex", edges.schema["a"].dataType), T.StructField("component", edges.schema["a"].dataType)]))
-    forest = reduce(DataFrame.unionByName, moves)
-    for _ in range(max(1, turn.bit_length())):
-        forest = materialize(forest)
+    forest = materialize(reduce(DataFrame.unionByName, moves))
+    for move in moves:
+        move.unpersist()
+    for k in range(max(1, turn.bit_length())):
+        forest = materialize(forest) if k else forest
         up = forest.select(F.col("v").alias("to"), F.col("to").alias("top"))
         forest = forest.join(up, "to", "left").select("v", F.coalesce("top", "to").alias("to"))
     rooted = vertices.join(forest.select(F.col("v").alias("vertex"), "to"), "vertex", "left").select("vertex", F.coalesce("to", "vertex").alias("root"))
