@@ -163,38 +163,75 @@ PAIRS = 8
 REFITS, STILL = 2, 1e-3
 
 
+def _kinds(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """Columns of whole numbers and times, of fractions, and of all else."""
+    kinds = dict(df.dtypes)
+    whole = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint", "boolean", "timestamp", "timestamp_ntz", "date")]
+    parts = [c for c in columns if kinds[c] in ("float", "double")]
+    return whole, parts, [c for c in columns if c not in whole and c not in parts]
+
+
 def _featured(df: DataFrame, load: str, key: str, columns: list[str]) -> DataFrame:
-    """(load order value, fold, f, h, broken): of every column its number (of text the length) in f and the value's 64-bit hash in h, 0 for null; bits of the broken contracts."""
+    """(load order value, fold, w, p, t, l, broken): whole numbers, fractions, hashes and lengths of texts, as arrays with nulls; bits of the broken contracts.
+
+    One short expression for all texts and plain arrays of numbers, so that the generated code stays small; hashes of numbers are made in the tasks.
+    """
     kinds = dict(df.dtypes)
-    numbers = [(_as_number(c, kinds[c]) if _is_number(kinds[c]) else F.length(_text(c)).cast("double")) for c in columns]
-    hashes = [F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(c), _text(c))) for c in columns]
+    whole, parts, texts = _kinds(df, columns)
+    number = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if kinds[c] in ("timestamp", "timestamp_ntz", "date") else F.col(c).cast("long")
+    array = lambda cols, kind: F.array(*cols).cast(f"array<{kind}>")
+    words = array([_text(c) for c in texts], "string")
     bits = F.lit(0).cast("long")
     if BROKEN in df.columns:
-        place = {c: i for i, c in enumerate(columns)}
-        for i, c in enumerate(c for c in contract_checks_names() if c in place):
+        for i, c in enumerate(c for c in contract_checks_names() if c in columns):
             bits = bits.bitwiseOR(F.when(F.array_contains(BROKEN, c), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
     return df.select(
         F.col(load).cast("long").alias("load"), F.pmod(F.xxhash64(F.col(key), F.lit("fold")), F.lit(2)).cast("int").alias("fold"),
-        F.array(*[F.coalesce(n, F.lit(float("nan"))) for n in numbers]).alias("f"), F.array(*hashes).alias("h"), bits.alias("broken"),
+        array([number(c) for c in whole], "long").alias("w"), array([F.col(c).cast("double") for c in parts], "double").alias("p"),
+        F.transform(words, lambda x, i: F.when(x.isNotNull(), F.xxhash64(i, x))).alias("t"), F.transform(words, lambda x: F.length(x)).alias("l"), bits.alias("broken"),
     )
 
 
-def _batches(it: Iterator[pa.RecordBatch], columns: list[str]):
-    """(loads, folds, plain features [row, column, PLAIN], bytes of the hashes [row, column, 8])."""
-    n = len(columns)
-    under = [columns.index(c) for c in contract_checks_names() if c in columns]
-    for whole in it:
-        for i in range(0, whole.num_rows, ROWS):
-            b = whole.slice(i, ROWS)
-            v = np.asarray(b.column("f").flatten(), float).reshape(b.num_rows, n)
-            h = np.asarray(b.column("h").flatten(), "<i8").reshape(b.num_rows, n)
-            v = np.where(np.isfinite(v), v, 0)
-            x = np.zeros((b.num_rows, n, PLAIN))
+def _mixed(bits: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """64-bit hashes of numbers, another one in each column."""
+    with np.errstate(over="ignore"):
+        x = bits.view(np.uint64) + (column.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _batches(it: Iterator[pa.RecordBatch], layout: tuple[list[int], list[int], list[int], list[int]]):
+    """(loads, folds, plain features [row, column, PLAIN], bytes of the hashes [row, column, 8]); ``layout``: places of whole numbers, fractions, texts and contract columns. A null has hash 0."""
+    whole, parts, texts, under = layout
+    n = len(whole) + len(parts) + len(texts)
+
+    def grid(column: pa.Array, width: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        flat = column.flatten()
+        there = ~np.asarray(flat.is_null()).reshape(-1, width)
+        return np.asarray(flat.fill_null(0), kind).reshape(-1, width), there
+
+    for all_rows in it:
+        for i in range(0, all_rows.num_rows, ROWS):
+            b = all_rows.slice(i, ROWS)
+            v, h, there = np.zeros((b.num_rows, n)), np.zeros((b.num_rows, n), np.int64), np.zeros((b.num_rows, n), bool)
+            if whole:
+                x, there[:, whole] = grid(b.column("w"), len(whole), "<i8")
+                v[:, whole], h[:, whole] = x, _mixed(np.ascontiguousarray(x), np.array(whole)[None, :])
+            if parts:
+                x, there[:, parts] = grid(b.column("p"), len(parts), "<f8")
+                v[:, parts], h[:, parts] = x, _mixed(np.ascontiguousarray(x + 0.0), np.array(parts)[None, :])
+            if texts:
+                h[:, texts], there[:, texts] = grid(b.column("t"), len(texts), "<i8")
+                v[:, texts] = grid(b.column("l"), len(texts), "<i8")[0]
+            h *= there
+            v = np.where(there & np.isfinite(v), v, 0)
+            f = np.zeros((b.num_rows, n, PLAIN))
             size = np.log1p(np.abs(v))
-            x[:, :, 0], x[:, :, 1], x[:, :, 2], x[:, :, 3] = h == 0, np.sign(v) * size, size, size * size
+            f[:, :, 0], f[:, :, 1], f[:, :, 2], f[:, :, 3] = ~there, np.sign(v) * size, size, size * size
             for bit, j in enumerate(under):
-                x[:, j, 4] = np.asarray(b.column("broken")) >> bit & 1
-            yield np.asarray(b.column("load")), np.asarray(b.column("fold")), x, np.ascontiguousarray(h).view(np.uint8).reshape(b.num_rows, n, 8)
+                f[:, j, 4] = np.asarray(b.column("broken")) >> bit & 1
+            yield np.asarray(b.column("load")), np.asarray(b.column("fold")), f, h.view(np.uint8).reshape(b.num_rows, n, 8)
 
 
 def _tables(means: np.ndarray) -> np.ndarray:
@@ -250,14 +287,15 @@ def drift(df: DataFrame, load: str, key: str, columns: list[str], steps: int = 6
     if len(loads) < 2:
         return spark.createDataFrame([], DRIFT)
     feats = materialize(_featured(df.where(F.col(load).isNotNull()), load, key, columns))  # each pass reads it again
+    layout = tuple([columns.index(c) for c in kind] for kind in (*_kinds(df, columns), [c for c in contract_checks_names() if c in columns]))
     out = []
     for i in range(0, len(loads) - 1, PAIRS):
         some = loads[i : i + PAIRS + 1]
-        out += _drift(feats.where(F.col("load").between(some[0], some[-1])) if len(some) < len(loads) else feats, some, columns, steps, ridge)
+        out += _drift(feats.where(F.col("load").between(some[0], some[-1])) if len(some) < len(loads) else feats, some, columns, layout, steps, ridge)
     return spark.createDataFrame(out, DRIFT)
 
 
-def _drift(feats: DataFrame, loads: list[int], columns: list[str], steps: int, ridge: float) -> list[tuple]:
+def _drift(feats: DataFrame, loads: list[int], columns: list[str], layout: tuple, steps: int, ridge: float) -> list[tuple]:
     """Rows of ``drift`` for the successive pairs of ``loads``."""
     pairs = list(zip(loads, loads[1:]))
     n_columns = len(columns)
@@ -266,7 +304,7 @@ def _drift(feats: DataFrame, loads: list[int], columns: list[str], steps: int, r
 
     def moments(it):
         acc: dict = {}
-        for y, fold, x, h in _batches(it, columns):
+        for y, fold, x, h in _batches(it, layout):
             for i, a in enumerate(loads):
                 for k in (0, 1):
                     at = (y == a) & (fold == k)
@@ -312,7 +350,7 @@ def _drift(feats: DataFrame, loads: list[int], columns: list[str], steps: int, r
         def newton(it, w=w):
             acc: dict = {}
             tables = _tables(signs)
-            for y, fold, x, h in _batches(it, columns):
+            for y, fold, x, h in _batches(it, layout):
                 for p, (a, b) in enumerate(pairs):
                     for k in (0, 1):
                         at = ((y == a) | (y == b)) & (fold != k)  # fitted on the other fold
@@ -349,7 +387,7 @@ def _drift(feats: DataFrame, loads: list[int], columns: list[str], steps: int, r
         def gradient(it):
             acc: dict = {}
             tables = _tables(signs)
-            for y, fold, x, h in _batches(it, columns):
+            for y, fold, x, h in _batches(it, layout):
                 for p, (a, b) in enumerate(pairs):
                     for k in (0, 1):
                         at = ((y == a) | (y == b)) & (fold != k)
@@ -372,7 +410,7 @@ def _drift(feats: DataFrame, loads: list[int], columns: list[str], steps: int, r
     def scored(it):
         acc: dict = {}
         tables = _tables(signs)
-        for y, fold, x, h in _batches(it, columns):
+        for y, fold, x, h in _batches(it, layout):
             for p, (a, b) in enumerate(pairs):
                 for k in (0, 1):
                     at = ((y == a) | (y == b)) & (fold == k)
