@@ -159,8 +159,8 @@ BINS = 4096
 ROWS = 2048  # worked on at once
 #: Pairs of loads that one fit holds in memory, whatever the number of loads.
 PAIRS = 8
-#: Passes of the refit without a column, and change of the largest coefficient below which a fit stands.
-REFITS, STILL = 2, 1e-3
+#: Passes of the refit without a column, and gain in log likelihood over all rows below which a step is the last.
+REFITS, STILL = 2, 0.05
 
 
 def _kinds(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str], list[str]]:
@@ -237,7 +237,7 @@ def _batches(it: Iterator[pa.RecordBatch], layout: tuple[list[int], list[int], l
 def _tables(means: np.ndarray) -> np.ndarray:
     """[.., column, byte, value]: what each byte of a hash adds to the inner product of its signs with ``means`` [.., column, bit]."""
     signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little") * 2.0 - 1
-    return means.reshape(*means.shape[:-1], 8, 8) @ signs.T
+    return (means.reshape(*means.shape[:-1], 8, 8) @ signs.T).astype(np.float32)
 
 
 VECTOR = "pair int, fold int, part int, v binary"
@@ -368,7 +368,7 @@ def _drift(feats: DataFrame, loads: list[int], columns: list[str], layout: tuple
             hess[at] = h
             move = np.linalg.solve(h, v[:d] - ridge * w[at])
             w[at] = w[at] + move
-            moved = max(moved, float(np.abs(move).max()))
+            moved = max(moved, float(move @ h @ move) / 2)
         if moved < STILL:
             break
     models = {}
