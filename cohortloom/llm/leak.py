@@ -94,13 +94,20 @@ class Items:
             out.append((p[inside], k[inside]))
         return out
 
-    def expand(self, table: int, p: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(item, offset in item, position in text) of all hits of pieces ``k`` at positions ``p``."""
+    def bands(self, table: int, p: np.ndarray, k: np.ndarray, span: int) -> np.ndarray:
+        """Sorted numbers item * span + band of the hits of pieces ``k`` at positions ``p``, in 32 bits where they fit."""
         first, who, at = self.tables[table][2:5]
+        kind = np.int32 if len(self.ids) * span + len(at) < 2**31 else np.int64
         lo, n = first[k], first[k + 1] - first[k]
         end = np.cumsum(n)
-        j = np.repeat(lo - end + n, n) + np.arange(end[-1] if len(end) else 0)
-        return who[j], at[j], np.repeat(p, n)
+        j = np.repeat((lo - end + n).astype(kind), n)
+        j += np.arange(len(j), dtype=kind)
+        key = np.repeat(p.astype(kind), n)
+        key += (self.longest - at).astype(kind)[j]
+        key >>= BAND
+        key += (who * span).astype(kind)[j]
+        key.sort()
+        return key
 
     def of(self, table: int, k: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, offset in item) of the hits of pieces ``k`` in the one item given for each."""
@@ -149,24 +156,25 @@ def _candidates(items: Items, cps: np.ndarray, off: np.ndarray) -> np.ndarray:
     """
     n_items = len(items.ids)
     lap = 2 * items.longest
-    span = len(cps) + items.longest + (4 << BAND)
+    span = (COUNTED + lap + items.longest + (4 << BAND)) >> BAND
     place = items.pieces(cps, off)
     pairs = []
     for t, (p, k) in enumerate(place):
-        begin = np.arange(0, len(cps), COUNTED)
-        for a, z in zip(np.searchsorted(p, begin), np.searchsorted(p, begin + COUNTED + lap)):
-            who, at, pos = items.expand(t, p[a:z], k[a:z])
-            if not len(who):
+        begins = np.arange(0, len(cps), COUNTED)
+        for begin, a, z in zip(begins, np.searchsorted(p, begins), np.searchsorted(p, begins + COUNTED + lap)):
+            key = items.bands(t, p[a:z] - begin, k[a:z], span)
+            if not len(key):
                 continue
-            key = np.sort(who * (span >> BAND) + (pos - at + items.longest >> BAND))
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             key, n = key[head], np.diff(np.append(head, len(key)))
             both = n.copy()
             both[:-1] += np.where(key[1:] == key[:-1] + 1, n[1:], 0)
-            good = key[both >= items.need[key // (span >> BAND)]]
+            enough = both >= items.need.min()
+            good, both = key[enough].astype(np.int64), both[enough]
+            good = good[both >= items.need[good // span]]
             if not len(good):
                 continue
-            item, low = good // (span >> BAND), (good % (span >> BAND) << BAND) - items.longest
+            item, low = good // span, (good % span << BAND) - items.longest + begin
             d0 = np.searchsorted(off[1:], np.maximum(low, 0), "right")  # the documents that these diagonals pass
             d1 = np.searchsorted(off[1:], np.minimum(low + items.length[item] + (2 << BAND), len(cps) - 1), "right")
             for more in range(int((d1 - d0).max()) + 1):
