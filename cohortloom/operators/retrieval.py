@@ -145,3 +145,13 @@ def interval_pairs(left: DataFrame, right: DataFrame, key: str, width: float, to
 def required_missing(have: DataFrame, required: Sequence[str], name: str = "name") -> DataFrame:
     want = have.sparkSession.createDataFrame([(r,) for r in required], f"{name} string")
     return want.join(have.select(name).distinct(), name, "left_anti")
+
+
+def seed_summary(runs: DataFrame, seed: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Mean and sample deviation of each metric over seeds, per key; every seed must have the same keys, each once, else it raises."""
+    n = runs.agg(F.countDistinct(seed)).first()[0]
+    per = runs.groupBy(*keys).agg(F.countDistinct(seed).alias("s"), F.count(F.lit(1)).alias("r"))
+    bad = per.where((F.col("s") != n) | (F.col("r") != n)).head(1)
+    if bad:
+        raise ValueError(f"{[bad[0][k] for k in keys]} has {bad[0].r} results of {bad[0].s} seeds, there are {n}")
+    return macro(runs, columns, keys).withColumnRenamed("groups", "seeds")

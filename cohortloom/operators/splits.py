@@ -52,9 +52,16 @@ def quota_counts(sizes: DataFrame, n: str = "n", train: float = 0.8, valid: floa
     return best.select(n, F.col("q.t").alias("n_train"), F.col("q.v").alias("n_valid"), F.col("q.e").alias("n_test")).unionByName(few)
 
 
-def entity_partition(rows: DataFrame, seed: int | str = SEED) -> DataFrame:
-    """(cohort, entity, rank, partition): entities ranked by hash within their cohort and cut by its quotas."""
+def entity_partition(rows: DataFrame, seed: int | str = SEED, strict: bool = False) -> DataFrame:
+    """(cohort, entity, rank, partition): entities ranked by hash within their cohort and cut by its quotas.
+
+    A cohort of fewer than three entities cannot fill three partitions: all its entities train, or it raises if ``strict``.
+    """
     e = rows.select("cohort", "entity").distinct()
+    if strict:
+        small = e.groupBy("cohort").count().where("count < 3").orderBy("cohort").first()
+        if small:
+            raise ValueError(f"cohort {small.cohort} has {small['count']} entities, three are needed")
     fraction = hash_fraction(F.concat(F.lit(str(seed) + NUL), F.col("cohort")), F.col("entity"))
     sizes = e.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"))
     quotas = quota_counts(sizes.select("n").distinct())

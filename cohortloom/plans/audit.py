@@ -198,6 +198,13 @@ def alignment_override(s, d):
     return g.join(over, "a", "left").select(F.col("a").alias("group_id"), F.least("a", "b").alias("resolved"), F.col("b").isNotNull().alias("overridden"))
 
 
+def dangling_overrides(s, d):
+    """Accepted links that name a group which no trial has: overrides that would change nothing."""
+    c = lambda x: F.lower(F.trim(x))
+    links = table(s, d, "group_links").where("review_status = 'accepted'").select("link_id", F.explode(F.array(c("left_group_id"), c("right_group_id"))).alias("group_id")).distinct()
+    return links.join(_t(s, d).select(c("split_group_id").alias("group_id")).distinct(), "group_id", "left_anti").select("link_id", "group_id")
+
+
 def range_lookup(s, d):
     """Workbook rows of each run: runs span the rows their trials have, rows in several runs are told."""
     t = _t(s, d).where("source_excel_row IS NOT NULL").groupBy("book_id", "run_id").agg(F.min("source_excel_row").alias("lo"), F.max("source_excel_row").alias("hi"))
@@ -295,6 +302,7 @@ SELECT 'group_text_conflict', lower(trim(split_group_id)) AS id, count(DISTINCT
     "partition_lookup": f"WITH t AS (SELECT record_id, min({_CLEAN}) AS trial_split, count(DISTINCT {_CLEAN}) AS n FROM trial_manifest GROUP BY 1), w AS (SELECT DISTINCT window_id, record_id, {_CLEAN} AS window_split FROM pl_windows) SELECT window_id, window_split, trial_split, CASE WHEN trial_split IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN trial_split = window_split THEN 'ok' ELSE 'differs' END AS status FROM w LEFT JOIN t USING (record_id)",
     "global_id_resolve": "WITH u AS (SELECT sentence_id, min(global_text_id) AS g FROM material_units GROUP BY 1) SELECT row_id, coalesce(g, global_text_id, 'global-text-v1-' || substr(sha256(sentence_id), 1, 24)) AS global_id, CASE WHEN g IS NOT NULL THEN 'unit' WHEN global_text_id IS NOT NULL THEN 'trial' ELSE 'generated' END AS origin FROM trial_manifest LEFT JOIN u USING (sentence_id)",
     "alignment_override": "WITH l AS (SELECT lower(trim(left_group_id)) a, lower(trim(right_group_id)) b FROM group_links WHERE review_status = 'accepted'), o AS (SELECT a, min(b) AS b FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) GROUP BY 1), g AS (SELECT DISTINCT lower(trim(split_group_id)) AS a FROM trial_manifest) SELECT a AS group_id, least(a, b) AS resolved, b IS NOT NULL AS overridden FROM g LEFT JOIN o USING (a)",
+    "dangling_overrides": "WITH l AS (SELECT DISTINCT link_id, unnest([lower(trim(left_group_id)), lower(trim(right_group_id))]) AS group_id FROM group_links WHERE review_status = 'accepted') SELECT link_id, group_id FROM l WHERE NOT EXISTS (SELECT 1 FROM trial_manifest WHERE lower(trim(split_group_id)) = group_id)",
     "range_lookup": "WITH t AS (SELECT book_id, run_id, min(source_excel_row) AS lo, max(source_excel_row) AS hi FROM trial_manifest WHERE source_excel_row IS NOT NULL GROUP BY 1, 2), u AS (SELECT DISTINCT book_id, source_excel_row FROM material_units) SELECT u.book_id, source_excel_row, count(*) AS n_runs, min(run_id) AS first_run FROM u JOIN t ON u.book_id = t.book_id AND source_excel_row BETWEEN lo AND hi GROUP BY 1, 2",
     "pearson_guarded": f"WITH {_J} SELECT eeg_file, count(*) AS n, {_R} AS r FROM j GROUP BY 1",
     "duration_validation": f"WITH {_J}, g AS (SELECT eeg_file, count(*) AS n, {_R} AS r, round(quantile_cont(abs(a - b), 0.5), 6) AS median_residual FROM j GROUP BY 1) SELECT *, CASE WHEN n < 3 THEN median_residual <= 0.75 ELSE coalesce(r >= 0.9, false) END AS valid FROM g",

@@ -107,3 +107,14 @@ def test_geometry_and_frames(spark):
 def test_band_join(frame):
     a, b = frame([(1, 1.0), (2, 5.5)], "id int, v double"), frame([(7, 1.9), (8, 4.4), (9, 6.5)], "c int, c_v double")
     assert sorted((r.id, r.c) for r in R.interval_pairs(a, b, "v", 0.4, 1.0).collect()) == [(1, 7), (2, 9)]
+
+
+def test_summary_over_seeds(frame):
+    rows = [(seed, k, float(seed + i)) for seed in (1, 2, 3) for i, k in enumerate(("all", "one"))]
+    schema = "seed int, pool string, mrr double"
+    got = {r.pool: (r.seeds, r.mrr_mean, r.mrr_std) for r in R.seed_summary(frame(rows, schema), "seed", ["pool"], ["mrr"]).collect()}
+    assert got == {"all": (3, 2.0, 1.0), "one": (3, 3.0, 1.0)}
+    for bad in (rows[:-1], [*rows, rows[0]]):
+        with pytest.raises(ValueError):
+            R.seed_summary(frame(bad, schema), "seed", ["pool"], ["mrr"])
+    assert R.seed_summary(frame([], schema), "seed", ["pool"], ["mrr"]).count() == 0

@@ -209,3 +209,14 @@ def test_ordered_index(frame):
     df = frame(rows, "v string")
     got = {r.v: r.i for r in ordered_index(df.repartition(7), "v").collect()}
     assert got == {v: i for i, v in enumerate(sorted({r[0] for r in rows if r[0]}))} and ordered_index(df.limit(0), "v").count() == 0
+
+
+def test_small_cohorts(frame):
+    from cohortloom.operators import splits
+
+    rows = frame([("a", f"a{i}") for i in range(5)] + [("b", "b0"), ("b", "b1")], "cohort string, entity string")
+    got = {r.entity: r.partition for r in splits.entity_partition(rows).collect()}
+    assert got["b0"] == got["b1"] == "train" and len(set(got.values())) == 3
+    with pytest.raises(ValueError):
+        splits.entity_partition(rows, strict=True)
+    assert splits.entity_partition(rows.where("cohort = 'a'"), strict=True).count() == 5
